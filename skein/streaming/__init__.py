@@ -1,0 +1,4 @@
+"""Streams take the same narrow, keyed and union operators: they are plain DataFrame plans.
+
+No streaming-only operator exists here. Positions, take, coalesce and glom need a bounded input.
+"""
