@@ -76,3 +76,12 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import PRODUCTION, mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"), PRODUCTION)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.toxicity import toxicity
+
+    scored, _ = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
