@@ -92,3 +92,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.html import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
