@@ -26,10 +26,13 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, key: str, text: str, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``__k, lines, starts``: a document's lines and the 0-based first line of each chunk."""
+def chunked(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """``__k, __x, lines, starts``: a document's lines and the 0-based first line of each chunk.
+
+    ``__x`` holds the columns ``keep``.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = barrier(docs.select(F.col(key).alias("__k"), body.alias("__t")), lines=F.split("__t", "\n", -1))
+    base = barrier(docs.select(F.col(key).alias("__k"), F.struct(F.lit(0).alias("__"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)]).alias("__x"), body.alias("__t")), lines=F.split("__t", "\n", -1))
     hashed = barrier(base.drop("__t"), __h=F.transform("lines", lambda x: line_hash(x)))
     shifted = [F.concat(F.array_repeat(F.lit(0).cast("long"), i), F.col("__h")) for i in range(window)]
     zipped = F.arrays_zip(*[s.alias(f"h{i}") for i, s in enumerate(shifted)])
@@ -37,7 +40,7 @@ def chunked(docs: DataFrame, key: str, text: str, window: int = WINDOW, divisor:
     rolled = F.slice(rolled, 1, F.size("__h"))
     ends = F.filter(F.transform(rolled, lambda r, i: F.when(r == 0, i + 1).otherwise(-1)), lambda e: e > 0)
     starts = F.filter(F.concat(F.array(F.lit(0)), ends), lambda s: s >= 0)
-    return barrier(hashed, starts=F.array_distinct(starts)).select("__k", "lines", F.filter("starts", lambda s: s < F.size("lines")).alias("starts"))
+    return barrier(hashed, starts=F.array_distinct(starts)).select("__k", "__x", "lines", F.filter("starts", lambda s: s < F.size("lines")).alias("starts"))
 
 
 def chunks(parted: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -49,25 +52,25 @@ def chunks(parted: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_C
     return long_.filter((F.col("n") >= min_lines) & (F.length("body") >= min_chars)).select("*", F.md5("body").alias("digest"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``key, kept_text, n_lines, n_removed_lines, n_removed_chunks`` per document.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep``, ``kept_text, n_lines, n_removed_lines, n_removed_chunks`` per document.
 
     A chunk's bytes shuffle once, combined before the shuffle by digest, so a chunk that a third of
     all documents share costs a row per task. What repeats is a small part; only that meets documents.
     """
-    parted = chunked(docs, key, text)
+    parted = chunked(docs, key, text, keep)
     every = chunks(parted, min_lines, min_chars)
     place = F.struct("__k", "start")
     first = every.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.min_by("body", place).alias("first_body")).filter("copies > 1")
     narrow = every.select("__k", "start", "n", "digest")
     later = narrow.join(first.select(F.col("digest").alias("d2"), "first", "first_body"), F.col("digest") == F.col("d2")).filter(F.struct("__k", "start") > F.col("first"))
     per_doc = later.groupBy(F.col("__k").alias("__k2")).agg(F.sort_array(F.collect_set(F.struct("start", "n", "first_body"))).alias("cand"))
-    met = barrier(parted.join(per_doc, F.col("__k") == F.col("__k2"), "left"), cand=F.coalesce("cand", F.array().cast("array<struct<start:int,n:int,first_body:string>>")))
+    met = barrier(parted.join(per_doc, F.col("__k").eqNullSafe(F.col("__k2")), "left"), cand=F.coalesce("cand", F.array().cast("array<struct<start:int,n:int,first_body:string>>")))
     # the comparison of bytes: a chunk goes only if it is the first occurrence's text, not just its digest
     gone = F.filter("cand", lambda c: F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n") == c["first_body"])
-    found = barrier(met.select("__k", "lines", F.transform(gone, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))).alias("gone")), gone=F.col("gone"))
+    found = barrier(met.select("__k", "__x", "lines", F.transform(gone, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))).alias("gone")), gone=F.col("gone"))
     stops = F.concat(F.array(F.lit(0)), F.transform("gone", lambda c: c["start"] + c["n"]))
     nexts = F.concat(F.transform("gone", lambda c: c["start"]), F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(stops, nexts, lambda a, b: F.slice(F.col("lines"), a + 1, F.greatest(b - a, F.lit(0)))))
     removed = F.aggregate("gone", F.lit(0), lambda acc, c: acc + c["n"])
-    return found.select(F.col("__k").alias(key), F.when(F.size("gone") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n")).alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed_lines"), F.size("gone").cast("long").alias("n_removed_chunks"))
+    return found.select(F.col("__k").alias(key), *[F.col(f"__x.x{i}").alias(c) for i, c in enumerate(keep)], F.when(F.size("gone") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n")).alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed_lines"), F.size("gone").cast("long").alias("n_removed_chunks"))
