@@ -99,3 +99,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
