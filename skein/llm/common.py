@@ -8,10 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space: what separates words in every operator here.
-SPACES = " \t\n\x0b\x0c\r"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,12 +32,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def words(text: Column) -> Column:
-    """Array of the words ``[^\\x20\\x09-\\x0D]+``; null gives an empty array.
-
-    Only single-character separators are split at, which Java does without its regex engine.
-    """
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(plain, " ", -1), "")
+    """Array of the words ``[^\\x20\\x09-\\x0D]+``; null gives an empty array."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def barrier(df: DataFrame, **columns: Column) -> DataFrame:

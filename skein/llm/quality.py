@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACES, barrier, cut, words
+from skein.llm.common import barrier, cut, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -27,25 +27,42 @@ RULES = {
 SKETCH_K = 400
 
 
-def placed_windows(tokens: Column) -> Column:
-    """3-word windows of ``tokens`` with their places, sorted: by hash, then by the words themselves."""
+#: a place takes the low bits of a sorted number, the window's hash the others
+PLACE_BITS = 24
+
+
+def windows(tokens: Column) -> Column:
+    """The 3-word windows of ``tokens`` in order, as structs a, b, c."""
     n = F.size(tokens)
     rest = lambda k: F.slice(tokens, k, F.greatest(n, F.lit(1)))
-    zipped = F.arrays_zip(tokens.alias("a"), rest(2).alias("b"), rest(3).alias("c"))
-    window = lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), w["a"].alias("a"), w["b"].alias("b"), w["c"].alias("c"), i.alias("i"))
-    return F.sort_array(F.slice(F.transform(zipped, window), 1, F.greatest(n - 2, F.lit(0))))
+    return F.slice(F.arrays_zip(tokens.alias("a"), rest(2).alias("b"), rest(3).alias("c")), 1, F.greatest(n - 2, F.lit(0)))
 
 
-def repeated_places(placed: Column) -> Column:
-    """Places of the words in windows that occur twice or more, the first ones included.
+def numbered(own: Column) -> Column:
+    """Windows as sorted plain numbers, hash bits over place: n log n, without objects."""
+    mask = F.lit(-(1 << PLACE_BITS)).cast("long")
+    return F.sort_array(F.transform(own, lambda w, i: F.xxhash64(w["a"], w["b"], w["c"]).bitwiseAND(mask).bitwiseOR(i.cast("long"))))
+
+
+def hash_pairs(numbers: Column) -> Column:
+    """(x, y): places of neighbours among the numbers whose hash bits are equal."""
+    mask = F.lit(-(1 << PLACE_BITS)).cast("long")
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int")
+    pair = lambda x, y: F.when(x.bitwiseXOR(y).bitwiseAND(mask) == 0, F.struct(place(x).alias("x"), place(y).alias("y")))
+    return F.filter(F.zip_with(numbers, F.slice(numbers, 2, F.greatest(F.size(numbers), F.lit(1))), pair), lambda p: p.isNotNull())
+
+
+def places_of(pairs: Column) -> Column:
+    """The words that pairs of equal windows cover."""
+    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(*[p[z] + k for z in "xy" for k in range(3)]))))
 
-    Equal windows are neighbours: n log n for a text of n words, and no lambda names an outer array.
-    """
-    def both(x: Column, y: Column) -> Column:
-        same = y.isNotNull() & (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-        return F.when(same, F.array(*[z["i"] + k for z in (x, y) for k in range(3)])).otherwise(F.array().cast("array<int>"))
 
-    return F.array_distinct(F.flatten(F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), both)))
+def exact_pairs(own: Column) -> Column:
+    """Like ``hash_pairs`` for any length and any clash of hashes: windows sorted by their words."""
+    full = F.sort_array(F.transform(own, lambda w, i: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["c"].alias("c"), i.alias("i"))))
+    same = lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.struct(x["i"].alias("x"), y["i"].alias("y")))
+    pairs = F.zip_with(full, F.slice(full, 2, F.greatest(F.size(full), F.lit(1))), same)
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,19 +71,23 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     Null texts count as empty: every metric is 0. Nothing is shuffled; no metric looks at a prefix.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda line: F.translate(line, SPACES, "") != "")
-    shouted = F.filter(F.col("__w"), lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))
+    lines = F.filter(F.split(body, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     tokens = barrier(docs, __w=words(F.col(text)), __l=lines)
-    placed = barrier(tokens, __s=placed_windows(F.col("__w")))
-    return placed.select(
+    own = barrier(tokens, __v=windows(F.col("__w")))
+    held = barrier(own, __s=numbered(F.col("__v")))
+    found = barrier(held, __p=hash_pairs(F.col("__s")))
+    # equal hash bits with other words, or more windows than places fit: sort the words themselves
+    clash = (F.size("__v") >= 1 << PLACE_BITS) | F.exists("__p", lambda p: F.element_at("__v", p["x"] + 1) != F.element_at("__v", p["y"] + 1))
+    places = F.when(F.size("__v") == 0, 0).when(clash, F.size(places_of(exact_pairs(F.col("__v"))))).otherwise(F.size(places_of(F.col("__p"))))
+    return found.select(
         *docs.columns,
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").cast("long").alias("n_lines"),
-        F.size(repeated_places(F.col("__s"))).cast("long").alias("n_repeat_words"),
-        F.size(shouted).cast("long").alias("n_shout_words"),
+        places.cast("long").alias("n_repeat_words"),
+        F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{2})[^\x20\x09-\x0D\p{Ll}]*\p{Lu}[^\x20\x09-\x0D\p{Ll}]*(?![^\x20\x09-\x0D])")).cast("long").alias("n_shout_words"),
     )
 
 
