@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import oracles
 from skein.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op5_quality_rules": oracles.OP5, "op6_line_dedup": oracles.OP6}
 
 
 def query(fn: Query) -> Query:
