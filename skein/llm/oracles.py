@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skein.llm.lines import _MULTIPLIERS, _PRIME, DIVISOR, MIN_CHARS, MIN_LINES
+from skein.llm.mixing import PRODUCTION
 from skein.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, SYMBOLS
 
 #: strings of 50 bytes as hexadecimal digits, two a byte; removed intervals by gaps between covered starts
@@ -41,3 +42,33 @@ n AS (SELECT doc_id, i, line, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) A
 c AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, c),
 g AS (SELECT *, n >= {MIN_LINES} AND length(body) >= {MIN_CHARS} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, c) > 1 AS gone FROM c)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines, count(*) FILTER (gone) AS n_removed_chunks, md5(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_md5 FROM g GROUP BY doc_id"""
+
+
+def _fill(level: int) -> str:
+    """One level of the tree: budgets of the nodes of ``level`` names from those of their parents."""
+    names = ["domain", "lang", "source"][:level]
+    node, up = ", ".join(names), names[:-1]
+    part = f"PARTITION BY {', '.join(up)} " if up else ""
+    match = f"USING ({', '.join(up)})" if up else "ON true"
+    cases = " ".join(f"WHEN {' AND '.join(f'{n} = {v!r}' for n, v in zip(names, path, strict=True))} THEN {w}" for path, w in PRODUCTION.weights.items() if len(path) == level)
+    weight = f"CASE {cases} ELSE 1 END" if cases else "1"
+    return f"""
+n{level} AS (SELECT c.*, b.budget AS b FROM (SELECT {node}, {weight} AS w, sum(tokens) * {PRODUCTION.epochs} AS cap FROM leaves GROUP BY {node}) c JOIN b{level - 1} b {match}),
+o{level} AS (SELECT *, sum(w) OVER ({part}) AS tw, coalesce(sum(w) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pw, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pc FROM n{level} WINDOW q AS ({part}ORDER BY CAST(cap AS DOUBLE) / w, {node})),
+s{level} AS (SELECT *, bool_and(cap * (tw - pw) <= (b - pc) * w) OVER ({part}ORDER BY CAST(cap AS DOUBLE) / w, {node}) AS full_ FROM o{level}),
+f{level} AS (SELECT *, b - coalesce(sum(cap) FILTER (full_) OVER ({part}), 0) AS rest, tw - coalesce(sum(w) FILTER (full_) OVER ({part}), 0) AS rw FROM s{level}),
+g{level} AS (SELECT *, CASE WHEN full_ THEN cap ELSE least(cap, rest * w // rw) END AS got FROM f{level}),
+r{level} AS (SELECT *, b - sum(got) OVER ({part}) AS over_, coalesce(sum(cap - got) OVER ({part}ORDER BY {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM g{level}),
+b{level} AS (SELECT {node}, got + greatest(0, least(cap - got, over_ - room)) AS budget FROM r{level}),"""
+
+
+def _order(epoch: str) -> str:
+    return f"CAST('0x' || substring(md5('{PRODUCTION.seed}:' || {epoch} || ':' || doc_id), 1, 15) AS BIGINT)"
+
+
+OP10 = f"""
+WITH docs AS (SELECT doc_id, 'domain' || (CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) % 4) AS domain, lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+b0 AS (SELECT least(sum(tokens) * {PRODUCTION.epochs}, sum(tokens) * {PRODUCTION.share} // 100) AS budget FROM leaves),{_fill(1)}{_fill(2)}{_fill(3)}
+e AS (SELECT d.*, e.epoch, {_order("e.epoch")} AS place, budget - e.epoch * tokens AS left_ FROM docs d JOIN leaves USING (domain, lang, source) JOIN b3 USING (domain, lang, source), (SELECT unnest(range(0, {PRODUCTION.epochs})) AS epoch) e)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch AS INTEGER) AS epoch FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY place, doc_id) AS running FROM e WHERE left_ > 0 OR epoch = 0) WHERE running <= left_"""

@@ -12,7 +12,7 @@ from skein.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op5_quality_rules": oracles.OP5, "op6_line_dedup": oracles.OP6}
+ORACLE: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op5_quality_rules": oracles.OP5, "op6_line_dedup": oracles.OP6, "op10_mixing_sources": oracles.OP10}
 
 
 def query(fn: Query) -> Query:
