@@ -16,7 +16,7 @@ anchors at equal offsets. Consecutive strings with one anchor form a run of up t
 3. Their bytes are fetched; the suffixes of runs with the same leading tokens are sorted byte by byte by
    multikey quicksort (with characters of 8 bytes), and equal strings next to each other are compared.
    Leading tokens that lie across a bucket boundary, or have more than ``LIMIT`` contexts, are compared
-   across buckets instead: by a minimum per string, which is combined before the shuffle.
+   across buckets instead: their strings are dealt by all of their bytes, settled before and after.
 4. Spans meet their documents, which are cut.
 
 Contexts are 64-bit hashes within equal 48-bit leading tokens; strings that differ only in part are
@@ -381,6 +381,16 @@ def multikey_order(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _bytes_hash(strings: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    padded = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
+    padded[:, : strings.shape[1]] = strings
+    out = np.zeros(len(strings), np.uint64)
+    for c in padded.view(np.uint64).T:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + c)
+    return out
+
+
 def _suffixes(runs: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings of the runs: (bytes, run, place in the run)."""
     data = np.frombuffer(b"".join(runs), np.uint8)
@@ -392,6 +402,40 @@ def _suffixes(runs: list[bytes], counts: np.ndarray, length: int) -> tuple[np.nd
     return np.lib.stride_tricks.sliding_window_view(data, length)[at], which, place
 
 
+def _settle_strings(strings: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings a smaller key has too, and the order in which equal ones are neighbours."""
+    order, new = multikey_order(strings)
+    sorted_ = owner[order]
+    covered = np.zeros(len(owner), bool)
+    if len(owner):
+        least = np.minimum.reduceat(sorted_, np.nonzero(new)[0])[np.cumsum(new) - 1]
+        covered[order] = sorted_ > least
+    return covered, order
+
+
+def _spans(key: np.ndarray, crc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Covered strings as spans: those that start one byte after another become one."""
+    order = np.lexsort((start, crc, key))
+    key, crc, start = key[order], crc[order], start[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (crc[1:] != crc[:-1]) | (start[1:] - start[:-1] > 1)
+    at = np.nonzero(fresh)[0]
+    end = start[np.append(at[1:], len(key)) - 1] if len(at) else at
+    return key[at], crc[at], start[at], end - start[at] + 1
+
+
+def _covered_rows(key: np.ndarray, crc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(key):
+        k, c, s, n = _spans(key, crc, start)
+        yield _rows(COVERED, k, c, s, n, np.zeros(len(k), np.uint64))
+
+
+def _strings_of(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
+    """All strings of a table of runs: (bytes, key, crc, start)."""
+    strings, which, place = _suffixes(t["bytes"].to_pylist(), t["count"].to_numpy().astype(np.int64), length)
+    return strings, t["key"].to_numpy()[which], t["crc"].to_numpy()[which], t["start"].to_numpy()[which] + place
+
+
 def compare_open(runs: DataFrame, length: int) -> DataFrame:
     """Step 3 in buckets, over ``gram, key, crc, start, count, bytes``: covered spans (COVERED rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,26 +456,71 @@ def compare_open(runs: DataFrame, length: int) -> DataFrame:
             yield from settle(pa.Table.from_batches(held))
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        counts, key = t["count"].to_numpy().astype(np.int64), t["key"].to_numpy()
-        strings, which, place = _suffixes(t["bytes"].to_pylist(), counts, length)
-        order, new = multikey_order(strings)
-        owner = key[which[order]]
-        least = np.minimum.reduceat(owner, np.nonzero(new)[0])[np.cumsum(new) - 1]
-        hit = order[owner > least]
-        w = which[hit]
-        yield _rows(COVERED, key[w], t["crc"].to_numpy()[w], t["start"].to_numpy()[w] + place[hit], np.ones(len(hit), np.int32), t["gram"].to_numpy()[w])
+        strings, key, crc, start = _strings_of(t, length)
+        hit, _ = _settle_strings(strings, key)
+        yield from _covered_rows(key[hit], crc[hit], start[hit])
 
     n = shuffle_partitions(runs.sparkSession)
     return runs.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, _OUT)
 
 
 def compare_wide(runs: DataFrame, length: int) -> DataFrame:
-    """Step 3 across buckets: each string's smallest key, joined back. Exact, whatever the group's size."""
-    each = runs.select("key", "crc", "start", "gram", "bytes", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
-    strings = each.select("key", "crc", (F.col("start") + F.col("at")).alias("start"), "gram", F.expr(f"substring(bytes, at + 1, {length})").alias("string"))
-    least = strings.groupBy("string").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select(F.col("string").alias("s2"), "least")
-    hit = strings.join(least, F.col("string") == F.col("s2")).filter("key > least")
-    return hit.select(F.lit(COVERED).alias("kind"), "key", "crc", "start", F.lit(1).alias("count"), "gram")
+    """Step 3 across buckets, for leading tokens that no bucket can hold alone.
+
+    Strings are dealt by a hash of all their bytes, so only equal ones have to meet; a task first
+    settles its own, and sends a string once per smallest key. Exact, whatever the group's size.
+    """
+    n = shuffle_partitions(runs.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 20_000:
+                yield from deal(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from deal(pa.Table.from_batches(held))
+
+    def deal(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        strings, key, crc, start = _strings_of(t, length)
+        hit, order = _settle_strings(strings, key)
+        bucket = _bytes_hash(strings) % np.uint64(n)
+        order = order[~hit[order]]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        limits = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64))
+        for i in range(n):
+            some = order[limits[i] : limits[i + 1]]
+            if len(some):
+                yield blob(i, False, strings[some].tobytes(), key[some], crc[some], start[some])
+        if hit.any():
+            k, c, s, counts = _spans(key[hit], crc[hit], start[hit])
+            yield blob(int(k[0]) % n, True, counts.astype(np.int64).tobytes(), k, c, s)
+
+    def blob(bucket: int, done: bool, head: bytes, *columns: np.ndarray) -> pa.RecordBatch:
+        body = struct.pack("<q", len(columns[0])) + b"".join(_planes(c.astype(np.int64)) for c in columns) + head
+        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([done]), pa.array([zstandard.ZstdCompressor(level=1).compress(body)], pa.binary())], names=["bucket", "done", "blob"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for done, x in zip(b["done"].to_pylist(), b["blob"], strict=True):
+                body = zstandard.ZstdDecompressor().decompress(x.as_py())
+                (m,) = struct.unpack_from("<q", body)
+                key, crc, start = (_unplanes(body[8 + 8 * m * i : 8 + 8 * m * (i + 1)], m, np.int64) for i in range(3))
+                rest = body[8 + 24 * m :]
+                if done:
+                    yield _rows(COVERED, key, crc, start, np.frombuffer(rest, np.int64), np.zeros(m, np.uint64))
+                else:
+                    parts.append((np.frombuffer(rest, np.uint8).reshape(m, length), key, crc, start))
+        if parts:
+            strings, key, crc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+            hit, _ = _settle_strings(strings, key)
+            yield from _covered_rows(key[hit], crc[hit], start[hit])
+
+    return runs.mapInArrow(send, "bucket int, done boolean, blob binary").repartitionById(n, F.col("bucket")).mapInArrow(meet, _OUT)
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
