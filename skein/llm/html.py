@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>", re.S)
 ATTR = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-SPACE = re.compile(r"[ \t\n\x0b\x0c\r\xa0 -     　]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "object", "title", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -40,6 +39,8 @@ ENDS_P = BLOCKS - {"br", "button", "label", "legend", "option", "summary", "capt
 TAGS = {"article": 6.0, "main": 3.0, "nav": -14.0, "aside": -14.0, "footer": -14.0, "form": -14.0, "menu": -14.0, "button": -14.0, "dialog": -14.0, "head": -20.0, "search": -14.0, "label": -6.0, "fieldset": -8.0}
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body|text|articlebody|hentry)(?:$|[\s_-])", re.I)
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|copyright|footer|gdpr|header|hidden|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|paywall|popup|promo\w*|recommend\w*|related|replies|reply|respond|rss|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget|alert)(?:$|[\s_-])", re.I)
+#: an article's own header holds its title
+OWN = re.compile(r"(?:^|\s)(?:article|post|entry|content|story)[_-]{1,2}header(?:$|\s)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 SMOOTH = 1.2
 
@@ -74,7 +75,7 @@ def _rate(tag: str, attrs: str, above: _Open) -> tuple[float, bool]:
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "itemprop"):
-                if tag not in ("body", "html") and BAD.search(value):
+                if tag not in ("body", "html") and BAD.search(OWN.sub(" ", value)):
                     prior, bad = prior - 14.0, True
                 elif GOOD.search(value):
                     prior += 3.0
@@ -96,7 +97,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal links
         if parts:
-            text = SPACE.sub(" ", _html.unescape("".join(parts))).strip(" ")
+            text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 top = stack[-1]
@@ -134,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW and not m.group(1):
             if not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else (n if tag in ("script", "style", "xmp") else at)
             continue
         block = tag in BLOCKS
         if block:

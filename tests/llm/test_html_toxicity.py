@@ -59,6 +59,8 @@ def test_pages_without_article_and_odd_ones(spark):
     body = " ".join(f"Sentence number {i} of a longer text." for i in range(12))
     page = f'<body><div class="menu"><a href=a>Home</a> <a href=b>News</a></div><div class="post-content"><p>{body}</p><p>Short.</p></div><div id="footer">Imprint</div>'
     assert H.main_text(page) == f"{body} Short."
+    titled = f'<div class="article-header"><h2>Own title</h2></div><div class="site-header"><p>Site name</p></div><iframe src=x><div class="entry-content"><p>{body}&nbsp;&#x2003; End.</p></div>'
+    assert H.main_text(titled) == f"Own title {body} End."
     assert H.main_text(None) == H.main_text("") == H.main_text("<nav>x</nav>") == H.main_text("<!-- open") == ""
     assert H.main_text("<article><p>" + "<div>" * 3000 + "deep") == "deep"
     assert len(H.main_text("<article>" + "<p>word and more.</p>" * 5000)) == 5000 * 15 - 1
