@@ -20,7 +20,7 @@ MAX_REPEAT_PERCENT = 50
 #: The least threshold is where a document starts to be suspicious in any language or source, so a
 #: group of clean documents with hardly any spread loses none of them.
 RULES = {
-    "symbol_ratio": (0.25, 0.75, 4.0, 0.5),
+    "symbol_ratio": (0.25, 0.75, 4.0, 0.25),
     "shout_ratio": (0.25, 0.75, 4.0, 0.5),
     "dup_line_ratio": (0.25, 0.75, 4.0, 0.7),
 }
