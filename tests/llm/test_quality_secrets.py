@@ -49,6 +49,13 @@ def test_quality_odd_rows(spark):
     assert quality(docs.limit(0)).collect() == []
 
 
+def test_learned_rules_part_good_from_bad(spark):
+    judged = QUERIES["op5_quality_rules"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("not base_failed")
+    got = Counter((r.quality, r.kept) for r in judged.select("quality", "kept").collect())
+    assert got[1, True] > 100 and got[1, False] == 0
+    assert got[0, False] >= 0.95 * (got[0, False] + got[0, True]) > 0
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
