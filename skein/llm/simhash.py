@@ -74,6 +74,7 @@ def _vector_edges(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndar
     an edge goes out only where both ends aren't joined yet.
     """
     n = len(keys)
+    fps = fps.view(np.uint64)  # of signed values, bitwise_count counts the bits of the absolute value
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     step = 1

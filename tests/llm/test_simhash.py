@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -89,6 +90,21 @@ def test_dense_groups_lose_no_link(spark):
         assert {v: root(v) for v in want} == want
 
 
+def test_isolated_pairs_that_differ_in_bit_63_are_linked(spark):
+    rnd = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = set()
+    for n in range(3):
+        for others in combinations(range(63), n):
+            x = rnd.getrandbits(64)
+            y = x ^ 1 << 63 ^ sum(1 << b for b in others)
+            want.add((min(signed(x), signed(y)), max(signed(x), signed(y))))
+    assert len(want) == 1 + 63 + 1953
+    nodes = spark.createDataFrame([(v,) for pair in want for v in pair], "fp long")
+    found = S.block_edges(nodes).filter("not dense").collect()
+    assert {(min(r.u, r.v), max(r.u, r.v)) for r in found} == want
+
+
 def test_simhash_odd_rows(spark):
     long = " ".join(f"w{i % 977}" for i in range(40000))
     rows = [(4, None), (2, ""), (9, " \n\t"), (1, "Only two"), (7, "only TWO"), (5, long), (6, long + " x"), (8, "é ü ñ ß"), (8, "é ü ñ ß")]
