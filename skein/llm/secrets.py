@@ -27,8 +27,8 @@ BASE = {
     "hex": (r"[0-9a-f]{16,}", 16, 0),  # shorter runs fail anyway, and runs are maximal either way
 }
 WEAK = {
-    "weak_id": (r"\b(?:A3T|ASIA|AGPA|AIDA|AROA|ANPA|AKIA)[A-Z0-9]{8,13}\b", 11, 0),
-    "weak_secret": (r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{20,64}(?![A-Za-z0-9+/])", 20, 0),
+    "weak_id": (r"\b(?:(?:A3T|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{8,}|AKIA[A-Z0-9]{8,13})\b", 11, 0),  # longer AKIA ones are base
+    "weak_secret": (r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{20,}(?![A-Za-z0-9+/])", 20, 0),
     "endpoint": (r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?", 10, 0),
 }
 IDS, SECRETS = ("access", "weak_id"), ("assign", "hex", "weak_secret")

@@ -111,6 +111,21 @@ def test_secret_linking_and_odd_rows(spark):
     assert scan_secrets(docs.limit(0)).collect() == []
 
 
+def test_weak_finds_of_any_length(spark):
+    secret, url = "aB3dE5fG7hI9jK1lM3nO5pQ7", "https://api.example.com/v1"
+    ids = [p + "IOSFODNN7EXAMPLE" + tail for p in ("A3T", "ASIA", "AGPA", "AIDA", "AROA", "ANPA") for tail in ("", "X" * 300)]
+    rows = [(i, f"id {x} at {url} with key {secret} end") for i, x in enumerate(ids)]
+    rows += [(100 + n, f"id ASIA1234567890 key {(secret * 2000)[:n]} end") for n in (20, 64, 65, 88, 48000)]
+    rows += [(200 + n, f"id AKIA{'X' * n} key {secret} end") for n in (7, 8, 13, 14, 16)]
+    got = {r.doc_id: r.l for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", listed("linked").alias("l")).collect()}
+    span = lambda kind, t, part: f"{kind}:{t.index(part)}:{t.index(part) + len(part)}"
+    for i, t in rows[: len(ids)]:
+        assert got[i] == ",".join([span("weak_id", t, ids[i]), span("endpoint", t, url), span("weak_secret", t, secret)]), t
+    for n in (20, 64, 65, 88, 48000):
+        assert got[100 + n] == f"weak_id:3:17,weak_secret:22:{22 + n}"
+    assert {n: [x.split(":")[0] for x in got[200 + n].split(",") if x] for n in (7, 8, 13, 14, 16)} == {7: [], 8: ["weak_id", "weak_secret"], 13: ["weak_id", "weak_secret"], 14: ["weak_secret"], 16: ["weak_secret"]}
+
+
 @pytest.mark.parametrize("name", ["op5_quality_rules", "op4_secret_scans"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
