@@ -6,8 +6,8 @@ only what all siblings together can't use goes to the ancestors' other children.
 throughout. Each leaf then takes the documents whose running token count, in the seeded order of
 an epoch, stays within its budget; the next epoch starts where the leaf is used up.
 
-The tree has a node per (domain, language, source): metadata, checked against ``MAX_LEAVES``. The
-order of documents is that of a hash; running counts come from sums per hash range first, so a leaf
+The tree has a node per (domain, language, source), as many as there are; budgets are window sums in
+Spark. The order of documents is that of a hash; running counts come from sums per hash range first, so a leaf
 with a third of all documents isn't counted in one task.
 """
 
@@ -15,13 +15,16 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import cut
 
-MAX_LEAVES = 100_000
+#: a tree of more leaves is joined by shuffle
+BROADCAST_LEAVES = 100_000
 BUCKETS = 4096
 
 
@@ -103,14 +106,52 @@ def order_key(key: Column, epoch: int, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def budgets_frame(counted: DataFrame, mix: Mix) -> DataFrame:
-    """``domain, lang, source, tokens, budget``: one row per leaf."""
-    totals = counted.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
-    leaves = {(r["domain"], r["lang"], r["source"]): r["tokens"] or 0 for r in totals}
-    rows = [(*leaf, leaves[leaf], budget) for leaf, budget in leaf_budgets(leaves, mix).items()]
-    return counted.sparkSession.createDataFrame(rows, "domain string, lang string, source string, tokens long, budget long")
+def _fill(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """``water_fill`` of all parents of one level at once: adds ``budget`` to ``names, cap, w, b`` (the parent's)."""
+    siblings = Window.partitionBy(*names[:-1]) if names[:-1] else Window.partitionBy(F.lit(0))
+    by_name = [F.col(n).asc_nulls_first() for n in names]
+    by_fill = siblings.orderBy(F.expr("CASE WHEN w > 0 THEN CAST(cap AS DOUBLE) / w END").asc_nulls_last(), *by_name)
+    before, until = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    dec = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
+    seen = nodes.withColumns({"tw": F.sum("w").over(siblings), "pw": F.coalesce(F.sum("w").over(by_fill.rowsBetween(*before)), F.lit(0)), "pc": F.coalesce(F.sum("cap").over(by_fill.rowsBetween(*before)), F.lit(0))})
+    fits = F.expr(f"w > 0 AND {dec('cap')} * {dec('tw - pw')} <= {dec('b - pc')} * {dec('w')}")
+    full = seen.withColumn("full", F.bool_and(fits).over(by_fill.rowsBetween(*until)))
+    rest = full.withColumns({"rest": F.col("b") - F.sum(F.expr("if(full, cap, 0L)")).over(siblings), "rw": F.col("tw") - F.sum(F.expr("if(full, w, 0L)")).over(siblings)})
+    got = rest.withColumn("got", F.expr(f"CASE WHEN full THEN cap WHEN rw > 0 THEN least(cap, {dec('rest')} * {dec('w')} div {dec('greatest(rw, 1L)')}) ELSE 0L END"))
+    room = F.sum(F.expr("if(w > 0, cap - got, 0L)")).over(siblings.orderBy(*by_name).rowsBetween(*before))
+    over = got.withColumns({"over": F.col("b") - F.sum("got").over(siblings), "room": F.coalesce(room, F.lit(0))})
+    return over.withColumn("budget", F.expr("got + if(w > 0, greatest(0L, least(cap - got, over - room)), 0L)"))
+
+
+def _same(names: list[str], suffix: str) -> Column:
+    return reduce(and_, [F.col(n).eqNullSafe(F.col(n + suffix)) for n in names])
+
+
+def budgets_frame(counted: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
+    """``domain, lang, source, tokens, budget``, one row per leaf, and the number of leaves.
+
+    ``leaf_budgets`` in Spark, level by level. A node's children, a row each, are sorted in one task.
+    """
+    spark, names = counted.sparkSession, ["domain", "lang", "source"]
+    leaves = cut(counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")))
+    n, total = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    up = None
+    for level in (1, 2, 3):
+        node = names[:level]
+        nodes = leaves.groupBy(*node).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * mix.epochs)
+        given = [(*path, w) for path, w in mix.weights.items() if len(path) == level]
+        if given:
+            weights = spark.createDataFrame(given, ", ".join(f"{c}4 string" for c in node) + ", given long")
+            nodes = nodes.join(F.broadcast(weights), _same(node, "4"), "left").select(*node, "tokens", "cap", F.coalesce("given", F.lit(1).cast("long")).alias("w"))
+        else:
+            nodes = nodes.withColumn("w", F.lit(1).cast("long"))
+        if up is None:
+            nodes = nodes.withColumn("b", F.lit(min(total * mix.epochs, total * mix.share // 100)).cast("long"))
+        else:
+            parents = up.select(*[F.col(c).alias(f"{c}5") for c in node[:-1]], F.col("budget").alias("b"))
+            nodes = nodes.join(parents, _same(node[:-1], "5")).select(*node, "tokens", "cap", "w", "b")
+        up = _fill(nodes, node).select(*node, "tokens", "budget")
+    return cut(up), n
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", domain: Column | None = None) -> DataFrame:
@@ -121,9 +162,9 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
     count nothing and go along where they lie within the prefix.
     """
     counted = cut(docs.select(F.col(key).alias("key"), (domain_of(F.col("source")) if domain is None else domain).alias("domain"), F.col("lang"), F.col("source"), token_count(F.col(text)).alias("n_tokens")))
-    leaves = budgets_frame(counted, mix).withColumnsRenamed({c: f"{c}2" for c in ("domain", "lang", "source")})
-    same = F.col("domain").eqNullSafe(F.col("domain2")) & F.col("lang").eqNullSafe(F.col("lang2")) & F.col("source").eqNullSafe(F.col("source2"))
-    planned = counted.join(F.broadcast(leaves), same).drop("domain2", "lang2", "source2")  # MAX_LEAVES rows at most
+    leaves, n = budgets_frame(counted, mix)
+    leaves = leaves.withColumnsRenamed({c: f"{c}2" for c in ("domain", "lang", "source")})
+    planned = counted.join(F.broadcast(leaves) if n <= BROADCAST_LEAVES else leaves, _same(["domain", "lang", "source"], "2")).drop("domain2", "lang2", "source2")
     epochs = F.array(*[F.struct(F.lit(e).alias("epoch"), order_key(F.col("key"), e, mix.seed).alias("place")) for e in range(mix.epochs)])
     placed = planned.select("*", F.explode(epochs).alias("e")).select("key", "domain", "lang", "source", "n_tokens", "tokens", F.col("e.epoch").alias("epoch"), F.col("e.place").alias("place"), (F.col("budget") - F.col("e.epoch") * F.col("tokens")).alias("left"))
     placed = placed.filter((F.col("left") > 0) | (F.col("epoch") == 0)).withColumn("bucket", F.shiftright("place", 48))

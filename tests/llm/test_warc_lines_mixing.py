@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 from skein.llm import lines as L
@@ -139,3 +140,24 @@ def test_mixing_odd_rows(spark):
     out = M.mix_sources(docs, M.Mix(share=100, epochs=1)).collect()
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
     assert M.mix_sources(docs.limit(0)).collect() == []
+
+
+def test_budgets_equal_water_filling(spark):
+    rnd = random.Random(4)
+    for trial in range(4):
+        leaves = {(rnd.choice([None, "", "a", "b"]), rnd.choice([None, "x", "y", "é"]), rnd.choice([None, *"stuvwz"])): rnd.choice([0, 1, 7, 10**3, 10**6, 10**12]) for _ in range(40)}
+        weights = {p[: rnd.randint(1, 3)]: rnd.choice([0, 2, 3, 50]) for p in list(leaves)[:12]}
+        mix = M.Mix(weights=weights if trial else {}, share=rnd.choice([7, 50, 80, 100]), epochs=1 + trial % 2)
+        counted = spark.createDataFrame([(*leaf, n) for leaf, n in leaves.items()], "domain string, lang string, source string, n_tokens long")
+        got, n = M.budgets_frame(counted, mix)
+        assert n == len(leaves)
+        assert {(r.domain, r.lang, r.source): r.budget for r in got.collect()} == M.leaf_budgets(leaves, mix)
+
+
+def test_mixing_takes_more_than_100000_leaves(spark):
+    docs = spark.range(100_003).selectExpr("id as doc_id", "repeat('w ', cast(id % 5 + 1 as int)) as text", "'en' as lang", "concat('host', id) as source")
+    mix = M.Mix(share=60, epochs=1)
+    budgets = M.leaf_budgets({(f"domain{i % 4}", "en", f"host{i}"): i % 5 + 1 for i in range(100_003)}, mix)
+    got = M.mix_sources(docs, mix).collect()
+    assert {r.doc_id for r in got} == {int(leaf[2][4:]) for leaf, b in budgets.items() if b >= int(leaf[2][4:]) % 5 + 1}
+    assert 0 < len(got) < 100_003
