@@ -5,8 +5,10 @@ Base finds (always reported): assignments of secrets, access identifiers, long h
 parts of one credential lie within ``reach`` code points of each other in the same document; an
 interval join on (document, stretch of text) decides that. It is a semi-join: it gives out no pairs.
 
-Spans are (start, kind, end) in code points, end exclusive. Null and empty texts have none. Only the
-key and the text of a document are read, so further columns can have any names.
+Spans are (start, kind, end) in code points, end exclusive. Null and empty texts have none. Every row is
+a document of its own, by a row number given before lineage is cut, so rows that repeat a key or have
+none are scanned and linked each for itself. Only the key and the text of a document are read, so
+further columns can have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,34 +68,34 @@ def find(text: Column, kind: str, pattern: str, least: int, group: int) -> Colum
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``base`` and ``weak`` spans per document; a weak find that touches a base one is left out."""
+    """``__row``, ``key``, ``base`` and ``weak`` spans per row; a weak find that touches a base one is left out."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.sort_array(F.concat(*[find(F.col("__t"), k, *p) for k, p in BASE.items()]))
     weak = F.sort_array(F.concat(*[find(F.col("__t"), k, *p) for k, p in WEAK.items()]))
-    held = barrier(barrier(docs.select(F.col(key).alias("__k"), body.alias("__t")), base=base), weak=weak)
+    held = barrier(barrier(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__k"), body.alias("__t")), base=base), weak=weak)
     clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return held.select(F.col("__k").alias(key), "base", F.when(F.size("weak") > 0, clear).otherwise(F.col("weak")).alias("weak"))
+    return held.select("__row", F.col("__k").alias(key), "base", F.when(F.size("weak") > 0, clear).otherwise(F.col("weak")).alias("weak"))
 
 
-def link(scanned: DataFrame, key: str, reach: int = REACH) -> DataFrame:
-    """Weak spans whose complementary parts are near: ``key``, ``linked`` (sorted spans).
+def link(scanned: DataFrame, reach: int = REACH) -> DataFrame:
+    """Weak spans whose complementary parts are near: ``__row2, linked`` (sorted spans).
 
-    Both sides are dealt by document and stretches of ``reach`` code points; a stretch holds few
-    finds whatever the document's length, and a find is compared with those of three stretches.
+    Both sides are dealt by row and stretches of ``reach`` code points; a stretch holds few finds
+    whatever the document's length, and a find is compared with those of three stretches.
     """
-    parts = scanned.filter(F.size("weak") > 0).select(F.col(key).alias("__k"), F.explode(F.concat("base", "weak")).alias("s")).select("__k", "s.*")
+    parts = scanned.filter(F.size("weak") > 0).select("__row", F.explode(F.concat("base", "weak")).alias("s")).select("__row", "s.*")
     at = lambda kinds: parts.filter(F.col("kind").isin([KINDS.index(k) for k in kinds]))
     found = []
     for kind, needs in NEEDS.items():
         weak = at((kind,))
         for group in needs:
-            near = at(group).select(F.col("__k").alias("__k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("cell2"))
+            near = at(group).select(F.col("__row").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("cell2"))
             probes = weak.select("*", F.explode(F.sequence(F.floor(F.col("start") / reach) - 1, F.floor(F.col("end") / reach) + 1)).alias("cell"))
             close = (F.col("s2") - F.col("end") <= reach) & (F.col("start") - F.col("e2") <= reach) & (F.col("s2") != F.col("start"))
-            weak = probes.join(near, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("cell") == F.col("cell2")) & close, "left_semi").select("__k", "start", "kind", "end").distinct()
+            weak = probes.join(near, (F.col("__row") == F.col("r2")) & (F.col("cell") == F.col("cell2")) & close, "left_semi").select("__row", "start", "kind", "end").distinct()
         found.append(weak)
     spans = reduce(DataFrame.unionByName, found)
-    return spans.groupBy(F.col("__k").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
+    return spans.groupBy(F.col("__row").alias("__row2")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
 
 
 def listed(spans: Column) -> Column:
@@ -103,11 +105,7 @@ def listed(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
-    """One row per document: ``key``, ``base`` and ``linked`` span arrays.
-
-    Keys are taken as unique; rows with equal or null keys share the links found for that key.
-    """
+    """One row per input row: ``key``, ``base`` and ``linked`` span arrays."""
     scanned = cut(scan(docs, key, text))
-    linked = link(scanned, key, reach).withColumnRenamed(key, "__k")
-    joined = scanned.join(linked, F.col(key).eqNullSafe(F.col("__k")), "left")
+    joined = scanned.join(link(scanned, reach), F.col("__row") == F.col("__row2"), "left")
     return joined.select(key, "base", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>")).alias("linked"))

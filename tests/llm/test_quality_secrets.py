@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm.queries import QUERIES
 from skein.llm.quality import quality
@@ -111,6 +112,13 @@ def test_secret_linking_and_odd_rows(spark):
     assert scan_secrets(docs.limit(0)).collect() == []
 
 
+def test_rows_with_equal_or_null_keys_are_linked_apart(spark):
+    weak_id, weak_secret = "id ASIA1234567890 here", "key aB3dE5fG7hI9jK1lM3nO5pQ7 here"
+    rows = [(k, t) for k in (5, None) for t in (weak_id, weak_secret, f"{weak_id} {weak_secret}", f"{weak_id} {weak_secret}")]
+    found = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("linked").alias("n")).collect()
+    assert Counter((r.doc_id, r.n) for r in found) == {(k, n): 2 for k in (5, None) for n in (0, 2)}
+
+
 def test_weak_finds_of_any_length(spark):
     secret, url = "aB3dE5fG7hI9jK1lM3nO5pQ7", "https://api.example.com/v1"
     ids = [p + "IOSFODNN7EXAMPLE" + tail for p in ("A3T", "ASIA", "AGPA", "AIDA", "AROA", "ANPA") for tail in ("", "X" * 300)]
