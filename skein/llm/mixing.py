@@ -2,8 +2,9 @@
 
 A tree domain - language - source has a weight per node. A node's budget goes to its children by
 weight; a child that holds less than its share gives the rest to its siblings (by weight again), and
-only what all siblings together can't use goes to the ancestors' other children. Whole numbers
-throughout. Each leaf then takes the documents whose running token count, in the seeded order of
+only what all siblings together can't use goes to the ancestors' other children. A node of weight 0
+gets nothing, and what lies under it counts as no capacity, from the leaves up, so the budgets add up
+to the smaller of the target and the usable capacity. Whole numbers throughout. Each leaf then takes the documents whose running token count, in the seeded order of
 an epoch, stays within its budget; the next epoch starts where the leaf is used up.
 
 The tree has a node per (domain, language, source), as many as there are; budgets are window sums in
@@ -70,12 +71,13 @@ def water_fill(budget: int, children: list[tuple[int, int]]) -> list[int]:
 
 
 def leaf_budgets(leaves: dict[tuple, int], mix: Mix) -> dict[tuple, int]:
-    """Token budget per leaf from tokens per leaf; the capacity of a leaf is its tokens times the epochs."""
+    """Token budget per leaf from tokens per leaf; a leaf's capacity is its tokens times the epochs, 0 under a weight of 0."""
     capacity: dict[tuple, int] = defaultdict(int)
     children: dict[tuple, set] = defaultdict(set)
     for leaf, tokens in leaves.items():
+        usable = tokens * mix.epochs if all(mix.weights.get(leaf[:d], 1) for d in range(1, len(leaf) + 1)) else 0
         for depth in range(len(leaf) + 1):
-            capacity[leaf[:depth]] += tokens * mix.epochs
+            capacity[leaf[:depth]] += usable
             if depth:
                 children[leaf[: depth - 1]].add(leaf[:depth])
     budgets = {(): min(capacity[()], sum(leaves.values()) * mix.share // 100)}
@@ -127,26 +129,31 @@ def _same(names: list[str], suffix: str) -> Column:
     return reduce(and_, [F.col(n).eqNullSafe(F.col(n + suffix)) for n in names])
 
 
+def _weighted(nodes: DataFrame, names: list[str], weights: dict[tuple, int], out: str) -> DataFrame:
+    """Adds the weight of the node ``names``, 1 where the mix names none; the mix is a parameter, so small."""
+    if not weights:
+        return nodes.withColumn(out, F.lit(1).cast("long"))
+    given = nodes.sparkSession.createDataFrame([(*path, w) for path, w in weights.items()], ", ".join(f"{c}4 string" for c in names) + ", given long")
+    return nodes.join(F.broadcast(given), _same(names, "4"), "left").select(*nodes.columns, F.coalesce("given", F.lit(1).cast("long")).alias(out))
+
+
 def budgets_frame(counted: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     """``domain, lang, source, tokens, budget``, one row per leaf, and the number of leaves.
 
     ``leaf_budgets`` in Spark, level by level. A node's children, a row each, are sorted in one task.
     """
-    spark, names = counted.sparkSession, ["domain", "lang", "source"]
-    leaves = cut(counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")))
-    n, total = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    names = ["domain", "lang", "source"]
+    leaves = counted.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    for level in (1, 2, 3):
+        leaves = _weighted(leaves, names[:level], {p: w for p, w in mix.weights.items() if len(p) == level}, f"w{level}")
+    leaves = cut(leaves.withColumn("usable", F.when((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0), F.col("tokens") * mix.epochs).otherwise(0)))
+    n, total, usable = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("usable"), F.lit(0))).first()
     up = None
     for level in (1, 2, 3):
         node = names[:level]
-        nodes = leaves.groupBy(*node).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * mix.epochs)
-        given = [(*path, w) for path, w in mix.weights.items() if len(path) == level]
-        if given:
-            weights = spark.createDataFrame(given, ", ".join(f"{c}4 string" for c in node) + ", given long")
-            nodes = nodes.join(F.broadcast(weights), _same(node, "4"), "left").select(*node, "tokens", "cap", F.coalesce("given", F.lit(1).cast("long")).alias("w"))
-        else:
-            nodes = nodes.withColumn("w", F.lit(1).cast("long"))
+        nodes = leaves.groupBy(*node).agg(F.sum("tokens").alias("tokens"), F.sum("usable").alias("cap"), F.first(f"w{level}").alias("w"))
         if up is None:
-            nodes = nodes.withColumn("b", F.lit(min(total * mix.epochs, total * mix.share // 100)).cast("long"))
+            nodes = nodes.withColumn("b", F.lit(min(usable, total * mix.share // 100)).cast("long"))
         else:
             parents = up.select(*[F.col(c).alias(f"{c}5") for c in node[:-1]], F.col("budget").alias("b"))
             nodes = nodes.join(parents, _same(node[:-1], "5")).select(*node, "tokens", "cap", "w", "b")
@@ -154,19 +161,22 @@ def budgets_frame(counted: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     return cut(up), n
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", domain: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", domain: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``key, domain, lang, source, n_tokens, epoch``: a row per selected document and epoch.
 
     In an epoch, a leaf's documents follow each other by ``order_key`` (ties: key); those whose
-    running count stays within what is left of the budget are selected. Documents without tokens
-    count nothing and go along where they lie within the prefix.
+    running count stays within what is left of the budget are selected. Documents without tokens, null
+    and empty texts too, count nothing and go along where they lie within the prefix. Rows that repeat
+    a key, or have none, are documents each (the null key orders like an empty one); null domains, languages and
+    sources are values. ``keep`` names columns that go along. An empty table gives no rows.
     """
-    counted = cut(docs.select(F.col(key).alias("key"), (domain_of(F.col("source")) if domain is None else domain).alias("domain"), F.col("lang"), F.col("source"), token_count(F.col(text)).alias("n_tokens")))
+    held = F.struct(F.lit(0).alias("__"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)])
+    counted = cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("key"), (domain_of(F.col("source")) if domain is None else domain).alias("domain"), F.col("lang"), F.col("source"), token_count(F.col(text)).alias("n_tokens"), held.alias("__x")))
     leaves, n = budgets_frame(counted, mix)
     leaves = leaves.withColumnsRenamed({c: f"{c}2" for c in ("domain", "lang", "source")})
-    planned = counted.join(F.broadcast(leaves) if n <= BROADCAST_LEAVES else leaves, _same(["domain", "lang", "source"], "2")).drop("domain2", "lang2", "source2")
+    planned = counted.drop("__x").join(F.broadcast(leaves) if n <= BROADCAST_LEAVES else leaves, _same(["domain", "lang", "source"], "2")).drop("domain2", "lang2", "source2")
     epochs = F.array(*[F.struct(F.lit(e).alias("epoch"), order_key(F.col("key"), e, mix.seed).alias("place")) for e in range(mix.epochs)])
-    placed = planned.select("*", F.explode(epochs).alias("e")).select("key", "domain", "lang", "source", "n_tokens", "tokens", F.col("e.epoch").alias("epoch"), F.col("e.place").alias("place"), (F.col("budget") - F.col("e.epoch") * F.col("tokens")).alias("left"))
+    placed = planned.select("*", F.explode(epochs).alias("e")).select("__row", "key", "domain", "lang", "source", "n_tokens", "tokens", F.col("e.epoch").alias("epoch"), F.col("e.place").alias("place"), (F.col("budget") - F.col("e.epoch") * F.col("tokens")).alias("left"))
     placed = placed.filter((F.col("left") > 0) | (F.col("epoch") == 0)).withColumn("bucket", F.shiftright("place", 48))
     leaf = ["domain", "lang", "source", "epoch"]
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("sum"))
@@ -174,6 +184,10 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
     starts = sums.select(*[F.col(c).alias(f"{c}3") for c in (*leaf, "bucket")], F.coalesce(before, F.lit(0)).alias("before"), "sum")
     on = [F.col(c).eqNullSafe(F.col(f"{c}3")) for c in (*leaf, "bucket")]
     joined = placed.join(starts, on).filter(F.col("before") <= F.col("left")).drop(*[f"{c}3" for c in (*leaf, "bucket")])
-    running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*leaf, "bucket").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*leaf, "bucket").orderBy("place", "key", "n_tokens", "__row").rowsBetween(Window.unboundedPreceding, 0))
     taken = joined.withColumn("running", running).filter(F.col("running") <= F.col("left"))
-    return taken.select(F.col("key").alias(key), "domain", "lang", "source", "n_tokens", "epoch")
+    if not keep:
+        return taken.select(F.col("key").alias(key), "domain", "lang", "source", "n_tokens", "epoch")
+    rows = counted.select(F.col("__row").alias("__row2"), "__x")
+    chosen = taken.join(rows, F.col("__row") == F.col("__row2"))
+    return chosen.select(F.col("key").alias(key), "domain", "lang", "source", "n_tokens", "epoch", *[F.col(f"__x.x{i}").alias(c) for i, c in enumerate(keep)])

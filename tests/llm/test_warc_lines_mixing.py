@@ -154,6 +154,51 @@ def test_budgets_equal_water_filling(spark):
         assert {(r.domain, r.lang, r.source): r.budget for r in got.collect()} == M.leaf_budgets(leaves, mix)
 
 
+def independent_budgets(leaves, mix):
+    """Budgets by handing out one token at a time: always to the child furthest below its share that has room."""
+    def usable(path):
+        return sum(n * mix.epochs for leaf, n in leaves.items() if leaf[: len(path)] == path and all(mix.weights.get(leaf[:d], 1) for d in range(1, 4)))
+
+    def share(path, tokens):
+        if len(path) == 3:
+            return {path: tokens}
+        kids = sorted({leaf[: len(path) + 1] for leaf in leaves if leaf[: len(path)] == path})
+        got = dict.fromkeys(kids, 0)
+        for _ in range(tokens):
+            kid = min((k for k in kids if got[k] < usable(k) and mix.weights.get(k, 1)), key=lambda k: (got[k] + 1) / mix.weights.get(k, 1))
+            got[kid] += 1
+        return {leaf: n for k in kids for leaf, n in share(k, got[k]).items()}
+
+    return share((), min(usable(()), sum(leaves.values()) * mix.share // 100))
+
+
+def test_budgets_with_zero_weights_against_single_tokens(spark):
+    rnd = random.Random(8)
+    for _ in range(3):
+        leaves = {(f"d{rnd.randint(0, 2)}", rnd.choice("xyz"), f"s{rnd.randint(0, 3)}"): rnd.choice([0, 1, 30, 90]) for _ in range(16)}
+        weights = {p[: rnd.randint(1, 3)]: rnd.choice([0, 0, 1, 3]) for p in rnd.sample(sorted(leaves), min(9, len(leaves)))}
+        mix = M.Mix(weights=weights, share=rnd.choice([40, 80, 100]), epochs=2)
+        counted = spark.createDataFrame([(*leaf, n) for leaf, n in leaves.items()], "domain string, lang string, source string, n_tokens long")
+        got = {(r.domain, r.lang, r.source): r.budget for r in M.budgets_frame(counted, mix)[0].collect()}
+        want = independent_budgets(leaves, mix)
+        assert sum(got.values()) == sum(want.values())
+        assert all(abs(got[k] - want[k]) <= 3 * len(leaves) for k in leaves)  # whole numbers are rounded otherwise
+        assert all(not got[k] for k in leaves if not all(weights.get(k[:d], 1) for d in range(1, 4)))
+
+
+def test_zero_weight_language_leaves_its_share_to_the_other_domain(spark):
+    leaves = {("d0", "en", "a"): 1000, ("d0", "de", "b"): 10, ("d1", "en", "c"): 1000}
+    mix = M.Mix(weights={("d0", "en"): 0}, share=80, epochs=1)
+    assert M.leaf_budgets(leaves, mix) == {("d0", "en", "a"): 0, ("d0", "de", "b"): 10, ("d1", "en", "c"): 1000}
+
+
+def test_mixing_keeps_a_row_per_selected_row(spark):
+    rows = [(k, f"w{i} a b", "en", "src1") for k in (5, None) for i in range(6)] + [(5, "same", "en", "src1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = M.mix_sources(docs, M.Mix(share=100, epochs=1), keep=("text",)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows)
+
+
 def test_mixing_takes_more_than_100000_leaves(spark):
     docs = spark.range(100_003).selectExpr("id as doc_id", "repeat('w ', cast(id % 5 + 1 as int)) as text", "'en' as lang", "concat('host', id) as source")
     mix = M.Mix(share=60, epochs=1)
