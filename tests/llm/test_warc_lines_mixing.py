@@ -37,12 +37,35 @@ def test_warc_round_trip_and_odd_rows(spark, tmp_path):
     assert full[5].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"WARC-Target-URI: u  x\r\n" in full[5]
     assert full[7].partition(b"\r\n\r\n")[2] == ("é" * 50000).encode() + b"\r\n\r\n"
     assert spark.read.parquet(f"{folder}/payloads").count() == len({(t or "") for _, _, t in rows})
+    for k, record in full.items():
+        fields, block = warc.parse(record)
+        assert fields["warc-type"] == types[k][0] and len(block) == int(fields["content-length"])
+    ids = {warc.parse(r)[0]["warc-record-id"]: k for k, r in full.items()}
+    assert ids[warc.parse(full[9])[0]["warc-refers-to"]] == 3
     warc.write_archive(pages, f"{folder}2", least=5)
     assert {r.key: r.record_type for r in warc.read_index(spark, f"{folder}2").collect()}[5] == "response"
     warc.write_archive(pages.limit(0), f"{folder}3")
     assert warc.read_index(spark, f"{folder}3").collect() == []
 
 
+def test_warc_rows_that_repeat_a_key_with_other_payloads(spark, tmp_path):
+    rows = [(5, "u", "x"), (5, "u", "y"), (6, "u", "y"), (None, "u", "z"), (None, "u", "q"), (7, "u", "z")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/r")
+    got = Counter((r.key, r.n_bytes, r.record_type, r.refers_to_key, r.sound) for r in warc.read_index(spark, f"file://{tmp_path}/r").collect())
+    assert got == {(5, 1, "response", None, True): 2, (6, 1, "revisit", 5, True): 1, (7, 1, "response", None, True): 1, (None, 1, "revisit", 7, True): 1, (None, 1, "response", None, True): 1}
+
+
+def test_warc_tells_changed_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "first"), (2, "u", "first"), (3, "u", "other")], "page_id long, url string, html string")
+    warc.write_archive(pages, f"file://{tmp_path}/s")
+    stored = spark.read.parquet(f"file://{tmp_path}/s/payloads")
+    other = stored.filter("n_bytes = 5").orderBy("address").collect()
+    swapped = spark.createDataFrame([(a.address, a.n_bytes, a.first_key, b.packed) for a, b in zip(other, other[::-1], strict=True)], stored.schema)
+    swapped.write.mode("overwrite").parquet(f"file://{tmp_path}/t/payloads")
+    spark.read.parquet(f"file://{tmp_path}/s/headers").write.parquet(f"file://{tmp_path}/t/headers")
+    assert [r.sound for r in warc.read_index(spark, f"file://{tmp_path}/t").collect()] == [False] * 3
+
+
 def brute_lines(docs):
     def h(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
