@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skein.llm.lines import _MULTIPLIERS, _PRIME, DIVISOR, MIN_CHARS, MIN_LINES
 from skein.llm.mixing import PRODUCTION
-from skein.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, SYMBOLS
+from skein.llm.quality import LOW, MAX_REPEAT_PERCENT, MIDDLE, MIN_WORDS, PRIOR, RULES, SKETCH_BITS, SPREADS, SYMBOLS
 
 #: strings of 50 bytes as hexadecimal digits, two a byte; removed intervals by gaps between covered starts
 OP1 = """
@@ -17,10 +17,18 @@ k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS
 o AS (SELECT doc_id, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS t, count(*) AS n, sum(b - a) AS m FROM k JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(m, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
 
-_RATIOS = {"symbol_ratio": "n_symbols / greatest(n_words, 1)", "shout_ratio": "n_shout / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)"}
-_LIMITS = ", ".join(f"greatest({least}, quantile_disc({_RATIOS[k]}, {high}) + {spread} * (quantile_disc({_RATIOS[k]}, {high}) - quantile_disc({_RATIOS[k]}, {low}))) AS max_{k}" for k, (low, high, spread, least) in RULES.items())
-_BAD = " OR ".join(f"{_RATIOS[k]} > coalesce(max_{k}, {least})" for k, (_, _, _, least) in RULES.items())
-#: sketches of groups as small as those of the test tables are exact
+_RATIOS = {"symbol_ratio": "n_symbols * 1000000 // greatest(n_words, 1)", "shout_ratio": "n_shout * 1000000 // greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines * 1000000 // greatest(n_lines, 1)"}
+_RATED = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {x} AS v FROM b WHERE NOT base_failed" for k, x in _RATIOS.items())
+_DRAWN = lambda q: f"(own.n * own.{q} + {PRIOR} * up.{q}) // (own.n + {PRIOR}) AS {q}"
+_LIMITS = ", ".join(f"max(middle + {SPREADS} * (middle - low + {r})) FILTER (rule = '{k}') AS max_{k}" for k, r in RULES.items())
+_BAD = " OR ".join(f"coalesce({_RATIOS[k]} > max_{k}, false)" for k in RULES)
+
+
+def _quantiles(by: str) -> str:
+    low, middle = (f"min(bin) FILTER (100 * upto >= {p} * total) AS {q}" for p, q in ((LOW, "low"), (MIDDLE, "middle")))
+    return f"""SELECT {by}, any_value(total) AS n, {low}, {middle} FROM (SELECT {by}, bin, sum(count(*)) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY {by}) AS total FROM h GROUP BY {by}, bin) GROUP BY {by}"""
+
+
 OP5 = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
 v AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2)),
@@ -29,7 +37,11 @@ r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM q, (VALUES (0), (1), (2)) A
 m AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(translate(x, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda y: upper(y) = y AND lower(y) <> y AND length(y) > 1)) AS n_shout FROM t LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-k AS (SELECT lang, source, {_LIMITS} FROM b WHERE NOT base_failed GROUP BY lang, source),
+h AS (SELECT lang, source, rule, (v >> greatest(length(bin(v)) - {SKETCH_BITS}, 0)) << greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS bin FROM ({_RATED})),
+q0 AS ({_quantiles("rule")}),
+q1 AS (SELECT own.lang, own.rule, {_DRAWN("low")}, {_DRAWN("middle")} FROM ({_quantiles("lang, rule")}) own JOIN q0 up USING (rule)),
+q2 AS (SELECT own.lang, own.source, own.rule, {_DRAWN("low")}, {_DRAWN("middle")} FROM ({_quantiles("lang, source, rule")}) own JOIN q1 up ON own.rule = up.rule AND own.lang IS NOT DISTINCT FROM up.lang),
+k AS (SELECT lang, source, {_LIMITS} FROM q2 GROUP BY lang, source),
 j AS (SELECT b.*, {_BAD} AS adaptive_failed FROM b LEFT JOIN k ON b.lang IS NOT DISTINCT FROM k.lang AND b.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, adaptive_failed, NOT base_failed AND NOT adaptive_failed AS kept FROM j"""
 

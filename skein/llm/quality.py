@@ -1,14 +1,25 @@
 """Quality rules with thresholds learned per language and source. DataFrame functions only.
 
 Fixed rules (``base_failed``): too few words, or too many words inside repeated 3-word windows.
-Learned rules: for every (language, source) a mergeable KLL quantile sketch of each metric is built
-over all documents that pass the fixed rules; documents join the sketch's thresholds and go if they
-stand out. Sketches merge like sums, so a source with a third of all rows costs one sketch per map task.
+Learned rules: every (language, source) has a quantile sketch of each ratio over all documents that pass
+the fixed rules. A sketch is a histogram over logarithmic bins (the leading ``SKETCH_BITS`` bits of the
+ratio in millionths, so a relative error below 1/32); sketches merge by adding counts, give the same
+whatever the order, and a source with a third of all rows costs one sketch per map task.
+
+A document goes if a ratio exceeds the median of its group by ``SPREADS`` times the group's spread. The
+spread is the distance from the tenth percentile to the median, which documents that stand out upwards
+don't widen, plus the ratio's resolution: one word of the shortest document that passes, or one line of
+ten. Quantiles of small groups are drawn towards the language's, and those towards the corpus', as
+if ``PRIOR`` further documents had them; a group of six is judged by its language, one of thousands by
+itself. No ratio has a fixed cutoff: a source in which symbols are usual keeps what another one loses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import barrier, cut, words
@@ -16,15 +27,10 @@ from skein.llm.common import barrier, cut, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: metric -> (lower quantile, upper quantile, spreads beyond the upper quantile, least threshold).
-#: The least threshold is where a document starts to be suspicious in any language or source, so a
-#: group of clean documents with hardly any spread loses none of them.
-RULES = {
-    "symbol_ratio": (0.25, 0.75, 4.0, 0.25),
-    "shout_ratio": (0.25, 0.75, 4.0, 0.5),
-    "dup_line_ratio": (0.25, 0.75, 4.0, 0.7),
-}
-SKETCH_K = 400
+#: ratio -> its resolution in millionths
+RULES = {"symbol_ratio": 1_000_000 // MIN_WORDS, "shout_ratio": 1_000_000 // MIN_WORDS, "dup_line_ratio": 100_000}
+SPREADS, PRIOR, SKETCH_BITS = 6, 50, 6
+LOW, MIDDLE = 10, 50  # percentiles
 
 
 #: a place takes the low bits of a sorted number, the window's hash the others
@@ -91,34 +97,69 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def sketches(rated: DataFrame, levels: list[tuple[str, ...]], rules: dict) -> list[DataFrame]:
+    """Per level, finest first: its columns, ``rule, bin, n``. Rows combine before the shuffle."""
+    x = "greatest(length(bin(v)) - {}, 0)".format(SKETCH_BITS)
+    each = rated.select(*levels[0], F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"__{k}").alias("v")) for k in rules])).alias("r")).select(*levels[0], "r.rule", "r.v")
+    out = [each.withColumn("bin", F.expr(f"shiftleft(shiftright(v, {x}), {x})")).groupBy(*levels[0], "rule", "bin").agg(F.count(F.lit(1)).alias("n"))]
+    for level in levels[1:]:
+        out.append(out[0].groupBy(*level, "rule", "bin").agg(F.sum("n").alias("n")))
+    return out
+
+
+def quantiles(sketch: DataFrame, level: tuple[str, ...]) -> DataFrame:
+    """``rule, n, low, middle`` per group: the first bin that reaches the percentile."""
+    group = Window.partitionBy(*level, "rule")
+    seen = sketch.select("*", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total"))
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bin")))
+    return seen.groupBy(*level, "rule").agg(F.first("total").alias("n"), at(LOW).alias("low"), at(MIDDLE).alias("middle"))
+
+
+def thresholds(rated: DataFrame, groups: tuple[str, ...], rules: dict = RULES) -> DataFrame:
+    """``__g_<group>`` and ``__max_<rule>`` (millionths), a row per group with a document among ``rated``."""
+    levels = [groups[:i] for i in range(len(groups), -1, -1)]
+    above = None
+    for level, sketch in list(zip(levels, sketches(rated, levels, rules), strict=True))[::-1]:
+        own = quantiles(sketch, level)
+        if above is None:
+            above = own
+            continue
+        up = above.select(*[F.col(c).alias(f"__u_{c}") for c in level[:-1]], F.col("rule").alias("__u_rule"), F.col("low").alias("__u_low"), F.col("middle").alias("__u_middle"))
+        met = own.join(up, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__u_{c}")) for c in (*level[:-1], "rule")]))
+        drawn = lambda q: F.expr(f"(n * {q} + {PRIOR} * __u_{q}) div (n + {PRIOR})").alias(q)
+        above = met.select(*level, "rule", "n", drawn("low"), drawn("middle"))
+    limit = lambda k: F.max(F.when(F.col("rule") == k, F.col("middle") + SPREADS * (F.col("middle") - F.col("low") + rules[k]))).alias(f"__max_{k}")
+    return above.groupBy(*[F.col(g).alias(f"__g_{g}") for g in groups]).agg(*[limit(k) for k in rules])
+
+
 def judge(measured: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, groups: tuple[str, ...] = ("lang", "source"), rules: dict = RULES) -> DataFrame:
-    """Adds base_failed, adaptive_failed and kept.
+    """Adds base_failed, adaptive_failed and kept; a verdict per row, whatever its key.
 
-    Groups are null-safe: documents without language or source form a group of their own. A group
-    whose documents all fail the fixed rules has no sketch, and the least thresholds hold for it.
+    Groups are null-safe: documents without language or source form a group of their own. Where all
+    of a group fail the fixed rules, ``adaptive_failed`` is false.
     """
     n = F.greatest(F.col("n_words"), F.lit(1))
-    ratios = {"symbol_ratio": F.col("n_symbols") / n, "shout_ratio": F.col("n_shout_words") / n, "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))}
+    parts = {"symbol_ratio": (F.col("n_symbols"), n), "shout_ratio": (F.col("n_shout_words"), n), "dup_line_ratio": (F.col("n_dup_lines"), F.greatest(F.col("n_lines"), F.lit(1)))}
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rated = measured.select("*", failed.alias("base_failed"), *[c.alias(f"__{k}") for k, c in ratios.items() if k in rules])
-    sketched = rated.filter(~F.col("base_failed")).groupBy(*groups).agg(*[F.kll_sketch_agg_double(f"__{k}", F.lit(SKETCH_K)).alias(k) for k in rules])
-    limits = []
-    for k, (low, high, spread, least) in rules.items():
-        q = F.kll_sketch_get_quantile_double(F.col(k), F.array(F.lit(low), F.lit(high)))
-        limits.append(F.greatest(F.lit(least), q[1] + spread * (q[1] - q[0])).alias(f"__max_{k}"))
-    limits = sketched.select(*[F.col(g).alias(f"__g_{g}") for g in groups], *limits)
-    on = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups]
-    joined = rated.join(limits, on, "left")
-    bad = F.lit(False)
-    for k, (_, _, _, least) in rules.items():
-        bad = bad | (F.col(f"__{k}") > F.coalesce(F.col(f"__max_{k}"), F.lit(least)))
+    ratios = [F.floor(F.lit(1_000_000).cast("long") * x / y).alias(f"__{k}") for k, (x, y) in parts.items() if k in rules]
+    rated = measured.select("*", failed.alias("base_failed"), *ratios)
+    limits = thresholds(rated.filter(~F.col("base_failed")), groups, rules)
+    joined = rated.join(limits, reduce(and_, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups]), "left")
+    bad = reduce(or_, [F.coalesce(F.col(f"__{k}") > F.col(f"__max_{k}"), F.lit(False)) for k in rules])
     return joined.select(*measured.columns, "base_failed", bad.alias("adaptive_failed"), (~F.col("base_failed") & ~bad).alias("kept"))
 
 
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), **options) -> DataFrame:
-    """One row per document: ``key``, the metrics and the verdict. Texts don't enter the join.
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """One row per input row: ``key``, the groups, ``keep``, the metrics and the verdict.
 
-    The measured numbers are cut into the shared folder, since both the sketches and the join read them.
+    Null texts are empty ones, and fail the fixed rules. Rows that repeat a key, or have none, are
+    measured and judged each for itself, and all count in the sketches. An empty table gives no rows.
+    Just ``key``, ``text``, ``groups`` and ``keep`` are read, so further columns can have any names.
+    What is measured is cut into the shared folder, since both the sketches and the join read it;
+    the texts go with it only if ``keep`` names them.
     """
-    narrow = cut(metrics(docs.select(key, text, *groups), text).drop(text))
-    return judge(narrow, groups=groups, **options)
+    held = F.struct(F.lit(0).alias("__"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(keep)]).alias("__x")
+    narrow = cut(metrics(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *[F.col(g).alias(f"__in{i}") for i, g in enumerate(groups)], held), "__text").drop("__text"))
+    judged = judge(narrow.withColumnsRenamed({f"__in{i}": g for i, g in enumerate(groups)}), groups=groups, **options)
+    more = [c for c in judged.columns if not c.startswith("__") and c not in groups]
+    return judged.select(F.col("__key").alias(key), *groups, *more, *[F.col(f"__x.x{i}").alias(c) for i, c in enumerate(keep) if c not in (key, *groups)])
