@@ -85,7 +85,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored, _ = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "lang", "flagged")
 
 
 @query

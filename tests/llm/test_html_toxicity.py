@@ -77,6 +77,14 @@ def test_toxicity_held_out_and_contract(spark):
     held = [(r.toxic, got[r.doc_id].predicted) for r in labels if got[r.doc_id].held_out]
     hit, false, missed = held.count((1, 1)), held.count((0, 1)), held.count((1, 0))
     assert hit / (hit + missed) > 0.6 and hit / (hit + false) > 0.9
+    by_language = {}
+    for r in labels:
+        if got[r.doc_id].held_out:
+            by_language.setdefault(got[r.doc_id].lang, []).append((r.toxic, int(got[r.doc_id].flagged)))
+    figures = {lang: (x.count((1, 1)), x.count((1, 0)), x.count((0, 1)), x.count((0, 0))) for lang, x in sorted(by_language.items())}
+    print("found, missed, falsely flagged, left alone by language:", figures)
+    assert all(false <= 0.05 * (false + alone) for _, _, false, alone in figures.values()), figures
+    assert sum(f[0] for f in figures.values()) >= 0.6 * sum(f[0] + f[1] for f in figures.values()), figures
 
 
 def test_toxicity_odd_rows(spark):
@@ -90,4 +98,5 @@ def test_toxicity_odd_rows(spark):
     assert sum((s >= 0.5) == (i % 3 == 0) for i, s in by.items()) > 380
     assert max(r.score for r in got if r.doc_id == 402) >= 0.5
     assert T.toxicity(docs.limit(0), labels.limit(0))[0].collect() == []
+    assert {(r.lang, r.flagged) for r in got} >= {("en", True), ("en", False)} and all(r.flagged is not None for r in got)
     assert T.flag_by_language(docs.selectExpr("lang", "0.9D as score"), model).filter("flagged").count() == len(rows)
