@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm.lines import _MULTIPLIERS, _PRIME, DIVISOR, MIN_CHARS, MIN_LINES
+from skein.llm.lines import MIN_CHARS, MULTIPLIER, PRIME
 from skein.llm.mixing import PRODUCTION
 from skein.llm.quality import LOW, MAX_REPEAT_PERCENT, MIDDLE, MIN_WORDS, PRIOR, RULES, SKETCH_BITS, SPREADS, SYMBOLS
 
@@ -48,12 +48,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 OP6 = f"""
 WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT doc_id, i, a[i] AS line, CAST('0x' || substring(md5(a[i]), 1, 7) AS BIGINT) AS h FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM a)),
-e AS (SELECT doc_id, i, line, (h + {_MULTIPLIERS[1]} * lag(h, 1, 0) OVER w) % {_PRIME} % {DIVISOR} = 0 AS last FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-s AS (SELECT doc_id, i, line, CASE WHEN lag(last, 1, true) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM e),
-n AS (SELECT doc_id, i, line, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM s),
-c AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, c),
-g AS (SELECT *, n >= {MIN_LINES} AND length(body) >= {MIN_CHARS} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, c) > 1 AS gone FROM c)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines, count(*) FILTER (gone) AS n_removed_chunks, md5(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_md5 FROM g GROUP BY doc_id"""
+r AS (SELECT doc_id, i, lag(line) OVER w || chr(10) || line AS body, ({MULTIPLIER} * lag(h) OVER w + h) % {PRIME} AS r FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, lag(r) OVER w AS left_, lead(r) OVER w AS right_ FROM (SELECT * FROM r WHERE i > 1) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, body FROM n WHERE length(body) >= {MIN_CHARS} AND (r <= right_ OR r < left_ OR (left_ IS NULL AND right_ IS NULL))),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi FROM c WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)),
+z AS (SELECT * FROM f WHERE doc_id <> fd OR i <> fi),
+g AS (SELECT DISTINCT z.doc_id, z.i + o.d AS i FROM z, (VALUES (-2), (-1), (0), (1)) o(d), l x, l y WHERE x.doc_id = z.doc_id AND x.i = z.i + o.d AND y.doc_id = z.fd AND y.i = z.fi + o.d AND x.line = y.line),
+m AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines, count(*) FILTER (begins) AS n_removed_chunks, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_md5 FROM s GROUP BY doc_id"""
 
 
 def _fill(level: int) -> str:

@@ -67,58 +67,82 @@ def test_warc_tells_changed_payloads(spark, tmp_path):
 
 
 def brute_lines(docs):
+    """A row per row: kept text, lines, removed lines, removed runs. Rows come in the order of keys, nulls first."""
     def h(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
 
-    parts, first = {}, {}
-    for k, t in docs:
-        ls = (t or "").split("\n")
-        hs = [h(x) for x in ls]
-        starts = [0]
-        for i in range(len(ls)):
-            rolled = sum(hs[i - j] * L._MULTIPLIERS[j] for j in range(L.WINDOW) if i - j >= 0)
-            if rolled % L._PRIME % L.DIVISOR == 0 and i + 1 < len(ls):
-                starts.append(i + 1)
-        parts[k] = [ls[a:b] for a, b in zip(starts, [*starts[1:], len(ls)], strict=True)]
-    for k in sorted(parts):
-        at = 0
-        for c in parts[k]:
-            body = "\n".join(c)
-            if len(c) >= L.MIN_LINES and len(body) >= L.MIN_CHARS:
-                first.setdefault(body, (k, at))
-            at += len(c)
-    out = {}
-    for k, cs in parts.items():
-        kept, at, gone = [], 0, 0
-        for c in cs:
-            body = "\n".join(c)
-            if first.get(body, (k, at)) == (k, at):
-                kept += c
-            else:
-                gone += 1
-            at += len(c)
-        out[k] = ("\n".join(kept), at, at - len(kept), gone)
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0, i))
+    texts = [(t or "").split("\n") for _, t in docs]
+    first, places = {}, defaultdict(list)
+    for d in order:
+        ls = texts[d]
+        r = [(L.MULTIPLIER * h(a) + h(b)) % L.PRIME for a, b in zip(ls, ls[1:], strict=False)]
+        chosen = {i if r[i] <= r[i + 1] else i + 1 for i in range(len(r) - 1)} if len(r) > 1 else set(range(len(r)))
+        for i in sorted(chosen):
+            body = ls[i] + "\n" + ls[i + 1]
+            if len(body) >= L.MIN_CHARS:
+                places[d].append((i, first.setdefault(body, (d, i))))
+    out = []
+    for d, ls in enumerate(texts):
+        gone = set()
+        for i, (fd, fi) in places[d]:
+            if (fd, fi) != (d, i):
+                gone |= {i + o for o in (-1, 0, 1, 2) if 0 <= i + o < len(ls) and 0 <= fi + o < len(texts[fd]) and ls[i + o] == texts[fd][fi + o]}
+        out.append(("\n".join(x for i, x in enumerate(ls) if i not in gone), len(ls), len(gone), sum(i - 1 not in gone for i in gone)))
     return out
 
 
 def test_line_dedup_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    want = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {k: x for (k, _), x in zip(rows, brute_lines(rows), strict=True)}
     got = {r.doc_id: (r.kept_text, r.n_lines, r.n_removed_lines, r.n_removed_chunks) for r in L.dedup_lines(docs).collect()}
     assert got == want
     assert sum(x[3] for x in want.values()) > 20
 
 
 def test_line_dedup_odd_rows(spark):
-    block = "\n".join(f"line {i} of a block that many documents share" for i in range(40))
+    block = "\n".join(f"line {i} of a block that many documents share, with words enough" for i in range(40))
     rows = [(1, None), (2, ""), (3, block), (4, "intro\n" + block + "\nend"), (5, block), (6, "\n\n\n\n"), (7, "\n".join(["same line again and again, long enough to count"] * 3000))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as lines", "2 as start")
-    got = {r.doc_id: (r.kept_text, r.n_lines, r.n_removed_lines, r.n_removed_chunks) for r in L.dedup_lines(docs).collect()}
-    assert got == brute_lines(rows)
-    assert got[3][0] == block and got[5][2] > 20
+    rows += [(8, "other\nthings"), (8, block), (None, "null key\n" + block), (None, "null key\n" + block)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as lines", "2 as place", "doc_id as __row")
+    got = Counter((r.doc_id, r.kept_text, r.n_lines, r.n_removed_lines, r.n_removed_chunks, r.x) for r in L.dedup_lines(docs.withColumn("x", docs.text), keep=("x",)).collect())
+    assert got == Counter((k, *x, t) for (k, t), x in zip(rows, brute_lines(rows), strict=True))
+    texts = {k: kept for k, kept, *_ in got}
+    assert texts[3] == texts[5] == "" and texts[4] == "intro\nend" and texts[7].count("\n") == 0
     assert L.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_shared_passages_go_to_their_ends(spark):
+    """Recall on passages that two otherwise different documents share, by the number of lines."""
+    rnd = random.Random(12)
+    line = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(rnd.randint(12, 25)))
+    rows, shared = [], {}
+    for n in (2, 3, 4, 6, 10):
+        for j in range(60):
+            passage = [line() for _ in range(n)]
+            for copy in range(2):
+                k = len(rows)
+                rows.append((k, "\n".join([line() for _ in range(rnd.randint(1, 5))] + passage + [line() for _ in range(rnd.randint(1, 5))])))
+                if copy:
+                    shared[k] = (n, passage)
+    got = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = Counter(n for k, (n, passage) in shared.items() if got[k].n_removed_lines == n and not set(passage) & set(got[k].kept_text.split("\n")))
+    print("passages removed whole, of 60, by lines:", dict(whole))
+    assert all(whole[n] == 60 for n in (3, 4, 6, 10)) and whole[2] >= 20
+    assert sum(r.n_removed_lines for r in got.values()) == sum(r.n_removed_lines for k, r in got.items() if k in shared)
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Every plan that it writes, and the last one."""
+    plans = []
+    keep = L.written
+    monkeypatch.setattr(L, "written", lambda df, name: (plans.append(df), keep(df, name))[1])
+    plans.append(QUERIES["op6_line_dedup"](spark, SF))
+    texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(texts) == 5 and not any("Python" in t or "Arrow" in t for t in texts)
+
+
 def brute_mix(docs, mix):
     leaves = defaultdict(int)
     for _, leaf, n in docs:
