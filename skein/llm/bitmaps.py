@@ -31,3 +31,10 @@ def split(df: DataFrame, column: str, by: DataFrame) -> tuple[DataFrame, DataFra
     inside = F.coalesce(F.expr("shiftright(__byte, __bit & 7) & 1 = 1"), F.lit(False))
     asked = met.withColumn("__byte", byte)
     return asked.filter(inside).select(df.columns), asked.filter(~inside).select(df.columns)
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column``, never null, isn't in the only column of ``gone``; just those that may be in it are shuffled."""
+    gone = gone.toDF("__gone")
+    asked, clear = split(df, column, filter_of(gone, "__gone"))
+    return asked.join(gone, F.col(column) == F.col("__gone"), "left_anti").unionByName(clear)

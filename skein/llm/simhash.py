@@ -10,7 +10,15 @@ vectors, and what comes out are at most two edges a fingerprint, never all pairs
 than ``LIMIT`` fingerprints isn't compared at all: those go the way of ``dense_edges``, which costs a
 fixed number of rows per fingerprint and is exact too.
 
-Null and empty texts have fingerprint 0, linked like any other. Texts are read whole.
+Null and empty texts have fingerprint 0, linked like any other. Texts are read whole. Rows that repeat a key
+are labelled each by their own text. An empty table gives no rows; just key and text are read.
+
+At 3 of 64 bits only texts that are nearly equal meet, and fingerprints of 64 bits can't be split for 10
+differing bits without keys that match by chance. ``similar_documents`` therefore takes longer
+fingerprints for a similarity of 0.8 on five-word shingles: ``PLACES`` bytes, each from the least of a text's
+shingle hashes under one of as many permutations, so the share of equal bytes estimates the Jaccard
+similarity. The way is the same: of two fingerprints that differ in 25 of 128 bytes or fewer, one of 26
+blocks is equal; fingerprints join on blocks, and the number of differing bytes is verified.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.bitmaps import filter_of, split
 from skein.llm.common import cut, shuffle_partitions
 from skein.llm.graph import components
 
@@ -189,3 +198,123 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     least = rooted.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "root2")
     labelled = rooted.join(least, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp3"), "component")
     return fps.join(labelled, F.col("fp") == F.col("fp3")).select(F.col("key").alias(key), "fp", "component")
+
+
+PLACES, SIMILARITY, TILE = 128, 0.8, 16_384
+_PERMUTE = np.random.default_rng(20240601).integers(0, 1 << 32, (2, PLACES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+
+
+def signature(text: str | None, size: int = 5) -> bytes:
+    """``PLACES`` bytes of one text; texts without words have zeros, shorter ones than a shingle count whole."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not tokens:
+        return bytes(PLACES)
+    digest = xxhash.xxh64_intdigest
+    words = np.fromiter((digest(w, SEED) for w in tokens), np.uint64, len(tokens))
+    n = max(1, len(words) - size + 1)
+    mixed = np.zeros(n, np.uint64)
+    for j in range(min(size, len(words))):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    shingles = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
+    for at in range(0, n, 4096):
+        least = np.minimum(least, (shingles[at : at + 4096, None] * _PERMUTE[0] + _PERMUTE[1]).min(axis=0))
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``row, key, sig`` of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b["row"], b["key"], pa.array([signature(t.as_py(), size) for t in b["text"]], pa.binary())], names=["row", "key", "sig"])
+
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    return read.mapInArrow(run, f"row long, key {docs.schema[key].dataType.simpleString()}, sig binary")
+
+
+def linked_within(sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the components of rows with ``most`` differing bytes or fewer: exact, without all pairs.
+
+    From row to row, each is compared with those that no component has yet; a group of copies is
+    done after its first row.
+    """
+    free = np.arange(len(sigs))
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    while len(free) > 1:
+        queue, free = [free[0]], free[1:]
+        while queue and len(free):
+            x = queue.pop()
+            near = np.concatenate([(sigs[free[i : i + 65536]] != sigs[x]).sum(axis=1) <= most for i in range(0, len(free), 65536)])
+            if near.any():
+                found = free[near]
+                left.append(np.full(len(found), x))
+                right.append(found)
+                queue.extend(found.tolist())
+                free = free[~near]
+    none = np.empty(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def signature_edges(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
+    """``u, v`` among ``node, sig`` (distinct): edges of the components at ``most`` differing bytes or fewer.
+
+    Only blocks that several fingerprints share move with their bytes. A block with more than ``tile``
+    of them is dealt in tiles, and every two tiles meet: exact, and no task holds more than two.
+    """
+    n_blocks = most + 1
+    edges = [PLACES * i // n_blocks for i in range(n_blocks + 1)]
+    key = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    keyed = nodes.select("node", "sig", F.explode(key).alias("key"))
+    several = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared, _ = split(keyed, "key", filter_of(several, "key"))
+    large = several.filter(F.col("n") > tile).select(F.col("key").alias("key2"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    hot, cool = split(shared, "key", filter_of(large, "key2"))
+    dealt = hot.join(large, F.col("key") == F.col("key2"), "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    paired = met.select("node", "sig", F.when(F.col("tiles").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, sigs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, PLACES), np.uint8)
+        for b in batches:
+            keys = np.concatenate([keys, b["key"].to_numpy()])
+            ids = np.concatenate([ids, b["node"].to_numpy()])
+            sigs = np.concatenate([sigs, np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)])
+            last = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
+            yield from settle(keys[:last], ids[:last], sigs[:last])
+            keys, ids, sigs = keys[last:], ids[last:], sigs[last:]
+        yield from settle(keys, ids, sigs)
+
+    def settle(keys: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.nonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))[0]
+        us, vs = [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            if b - a > 1:
+                u, v = linked_within(sigs[a:b], most)
+                us.append(ids[a:b][u])
+                vs.append(ids[a:b][v])
+        if us:
+            yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    every = cool.select("node", "sig", "key").unionByName(paired)
+    return every.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """``row, key, component, first``: per row the component's smallest key, and whether this row stays for it.
+
+    Rows are numbered as ``monotonically_increasing_id`` does. Links: shingle sets with an estimated
+    similarity of ``similarity`` or more. The row with the smallest key stays (null is the smallest; of equal keys,
+    the smallest row). Texts without words are equal to each other.
+    """
+    most = PLACES - int(np.ceil(similarity * PLACES))
+    sigs = cut(signatures(docs, key, text, size))
+    nodes = cut(sigs.groupBy("sig").agg(F.min(F.struct("key", "row")).alias("least")).select("sig", F.col("least.row").alias("node"), "least"))
+    joined = components(signature_edges(nodes.select("node", "sig"), most, tile)).select(F.col("u").alias("node2"), F.col("component").alias("root"))
+    rooted = nodes.join(joined, F.col("node") == F.col("node2"), "left").select("sig", "least", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("stays")).withColumnRenamed("root", "root2")
+    labelled = cut(rooted.join(smallest, F.col("root") == F.col("root2")).select(F.col("sig").alias("sig2"), "stays"))
+    met = sigs.join(labelled, F.col("sig") == F.col("sig2"))
+    return met.select("row", F.col("key").alias(key), F.col("stays.key").alias("component"), (F.col("row") == F.col("stays.row")).alias("first"))

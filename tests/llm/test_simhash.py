@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from skein.llm import simhash as S
@@ -112,3 +113,55 @@ def test_simhash_odd_rows(spark):
     got = S.near_duplicates(docs).collect()
     assert sorted((r.doc_id, r.component) for r in got) == [(1, 1), (2, 2), (4, 2), (5, 5), (6, 5), (7, 1), (8, 8), (8, 8), (9, 2)]
     assert S.near_duplicates(docs.limit(0)).collect() == []
+
+
+def jaccard(a, b, size=5):
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_signatures_estimate_the_similarity():
+    rnd = random.Random(3)
+    for _ in range(30):
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([60, 300, 9000]))]
+        other = [w if rnd.random() > 0.03 else "x" for w in words]
+        a, b = (np.frombuffer(S.signature(" ".join(x)), np.uint8) for x in (words, other))
+        assert abs((a == b).mean() - jaccard(" ".join(words), " ".join(other))) < 0.17
+    assert S.signature(None) == S.signature(" \n") == bytes(S.PLACES) and S.signature("A b") == S.signature("a B")
+
+
+@pytest.mark.parametrize("tile", [S.TILE, 7])
+def test_similar_documents_equal_brute_force(spark, tile):
+    rnd = random.Random(21)
+    fill = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
+    rows = [(None, None), (None, ""), (1, " \t")]
+    for g in range(25):
+        base = fill(rnd.randint(20, 400))
+        for _ in range(rnd.choice([1, 2, 3, 40])):
+            edited = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2, 4, 8])):
+                edited[rnd.randrange(len(edited))] = f"n{rnd.randint(0, 9)}"
+            rows.append((rnd.choice([None, rnd.randint(0, 900)]), " ".join(edited)))
+    rnd.shuffle(rows)
+    got = S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 as row", "2 as sig"), tile=tile).collect()
+    assert sorted(r.row for r in got) == list(range(len(rows)))
+    sigs = [np.frombuffer(S.signature(t), np.uint8) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (sigs[i] != sigs[j]).sum() <= 25:
+                parent[root(i)] = root(j)
+    members = {}
+    for i in range(len(rows)):
+        members.setdefault(root(i), []).append(((rows[i][0] is not None, rows[i][0] or 0), i))
+    stays = {i: min(m) for m in members.values() for _, i in m}
+    for r in got:
+        assert r.first == (stays[r.row][1] == r.row) and r.component == rows[stays[r.row][1]][0] and r.doc_id == rows[r.row][0]
+    assert sum(r.first for r in got) == len(members) < len(rows)
+    assert S.similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
