@@ -224,13 +224,14 @@ def signature(text: str | None, size: int = 5) -> bytes:
     return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, size: int, row: str | None = None) -> DataFrame:
     """``row, key, sig`` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b["row"], b["key"], pa.array([signature(t.as_py(), size) for t in b["text"]], pa.binary())], names=["row", "key", "sig"])
 
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    read = docs.select(number.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     return read.mapInArrow(run, f"row long, key {docs.schema[key].dataType.simpleString()}, sig binary")
 
 
@@ -302,15 +303,15 @@ def signature_edges(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
     return every.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY, tile: int = TILE, row: str | None = None) -> DataFrame:
     """``row, key, component, first``: per row the component's smallest key, and whether this row stays for it.
 
-    Rows are numbered as ``monotonically_increasing_id`` does. Links: shingle sets with an estimated
+    Rows have the distinct numbers of the column ``row``, or are numbered as ``monotonically_increasing_id`` does. Links: shingle sets with an estimated
     similarity of ``similarity`` or more. The row with the smallest key stays (null is the smallest; of equal keys,
     the smallest row). Texts without words are equal to each other.
     """
     most = PLACES - int(np.ceil(similarity * PLACES))
-    sigs = cut(signatures(docs, key, text, size))
+    sigs = cut(signatures(docs, key, text, size, row))
     nodes = cut(sigs.groupBy("sig").agg(F.min(F.struct("key", "row")).alias("least")).select("sig", F.col("least.row").alias("node"), "least"))
     joined = components(signature_edges(nodes.select("node", "sig"), most, tile)).select(F.col("u").alias("node2"), F.col("component").alias("root"))
     rooted = nodes.join(joined, F.col("node") == F.col("node2"), "left").select("sig", "least", F.coalesce("root", "node").alias("root"))
