@@ -4,6 +4,12 @@
 the last return the columns of documents. ``run`` writes each stage as Parquet into the shared folder
 and rereads it. No stage can be said in SQL as a whole, so ``ORACLE_SQL`` is None and the tests hold
 ``run`` against a brute-force version.
+
+Every row is a document, told apart by a row number: rows that repeat a doc_id, or have none, are judged
+each by itself, and no stage gives out more rows than it reads (the last: than rows times epochs). Null texts
+count as empty ones; languages and sources may be null. Empty tables give empty tables. Further columns
+are left out. Texts cross no shuffle to be filtered: row numbers of what goes meet just the rows
+that a filter of fixed size lets through.
 """
 
 from __future__ import annotations
@@ -14,25 +20,31 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import shared_folder, table
+from skein.llm.bitmaps import without
+from skein.llm.common import cut, shared_folder, table, written
 from skein.llm.decontam import contaminated
 from skein.llm.lines import dedup_lines
 from skein.llm.mixing import PRODUCTION, mix_sources
 from skein.llm.quality import quality
-from skein.llm.simhash import near_duplicates
+from skein.llm.simhash import similar_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``chosen``'s; a null id is a value like any other."""
-    ids = chosen.select(F.col("doc_id").alias("__id"))
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number of its own for every row, written so that it stays."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "pipeline-rows")
+
+
+def drop(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` but for those whose ``__row`` is in ``gone``."""
+    return without(rows, "__row", gone).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed or the learned rules reject go."""
-    return keep(docs, quality(docs).filter("kept"))
+    rows = numbered(docs)
+    return drop(rows, cut(quality(rows, key="__row").filter("not kept").select("__row")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,19 +54,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
-    return keep(docs, near_duplicates(docs).filter(F.col("component").eqNullSafe(F.col("doc_id"))))
+    """Of each group linked by a similarity of 0.8 or more on five-word shingles, the document with the smallest id stays."""
+    rows = numbered(docs)
+    return drop(rows, cut(similar_documents(rows, row="__row").filter("not first").select("row")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return keep(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated"))
+    rows = numbered(docs)
+    return drop(rows, cut(contaminated(rows, table(spark, sf_dir, "benchmark"), key="__row").filter("contaminated").select("__row")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The production mix: a row per selected document and epoch, with domain, n_tokens and epoch."""
-    chosen = mix_sources(docs, PRODUCTION).select(F.col("doc_id").alias("__id"), "domain", "n_tokens", "epoch")
-    return docs.select(*COLUMNS).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*COLUMNS, "domain", "n_tokens", "epoch")
+    return mix_sources(docs, PRODUCTION, keep=("text", "n_chars")).select(*COLUMNS, "domain", "n_tokens", "epoch")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
