@@ -69,6 +69,40 @@ def test_pages_without_article_and_odd_ones(spark):
     assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got) == [(0, "v", len(body) + 7), (1, "", 0), (2, "u", 0), (2, "u", 0)]
 
 
+def test_article_text_with_telling_names_stays():
+    for page, text in (
+        ('<article><p class="text alert">A text of some length that is marked.</p></article>', "A text of some length that is marked."),
+        ('<article><p>First of the paragraphs, long enough.</p><h2 id="comments-on-law">Comments on law</h2><p>Second of the paragraphs, long enough.</p></article>', "First of the paragraphs, long enough. Comments on law Second of the paragraphs, long enough."),
+        ('<article><div class="text-share-price">The price of a share rose.</div></article>', "The price of a share rose."),
+        ("<h1>A story</h1><p>x is less than y today</p>", "A story x is less than y today"),
+        ("<article><p>Let <math><mi>x</mi><mo>&lt;</mo><mn>3</mn></math> hold, and 1 < 2 too.</p></article>", "Let x<3 hold, and 1 < 2 too."),
+        ('<article><p>Long enough to be the text.</p><div class="postComments"><p>Nice one, really, I liked it. Very much so! Indeed I did. Thanks.</p></div></article>', "Long enough to be the text."),
+        ("<article>word</article><footer>Some company. All rights reserved. Call us, or write.</footer>", "word"),
+    ):
+        assert H.main_text(page) == text, page
+
+
+def test_cut_decides_where_ratings_dont(spark):
+    """A line's own rating is below 0; neighbours, parents and the article around it decide."""
+    got = H.labels("<article><p>A paragraph of the article that says a thing or two. It goes on for a while, so it is long.</p><p>So.</p><p>Another paragraph of it, also with a thing to say. And it goes on.</p></article><p>So.</p>")
+    assert [(r > 0, k) for _, r, k in got] == [(True, True), (False, True), (True, True), (False, False)]
+    changed = every = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        for _, rating, kept in H.labels(r.html):
+            changed, every = changed + ((rating > 0) != kept), every + 1
+    print("blocks whose label the cut changes:", changed, "of", every)
+    assert changed > 0.01 * every
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for unit in ("<div>word ", '<p x="', "<p x='>", "<svg>", "<a><b></i>", "<p></div>", "<!-", "<li><a href=x>w", "</p><p>w. ", "<table><tr><td>x"):
+        began = time.perf_counter()
+        H.main_text(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 40, unit
+
+
 def test_toxicity_held_out_and_contract(spark):
     got = {r.doc_id: r for r in QUERIES["op9_toxicity"](spark, f"{TESTDATA}/sf0.1").collect()}
     labels = spark.read.parquet(f"{TESTDATA}/sf0.1/labels.parquet").collect()
