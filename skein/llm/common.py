@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def sampled(row: Column, share: float) -> Column:
+    """Whether a value's 64-bit hash lies in the lowest ``share`` of all; holds for shares of any size."""
+    return F.lit(True) if share >= 1 else F.xxhash64(row) < F.lit(int(share * (1 << 64)) - (1 << 63))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

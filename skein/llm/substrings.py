@@ -7,31 +7,33 @@ Sorting all suffixes would move ``LENGTH`` times the corpus, so suffixes are gro
 grams in a string's window, the one with the smallest hash is its anchor: equal strings have equal
 anchors at equal offsets. Consecutive strings with one anchor form a run of up to W strings.
 
-1. Map: runs as (leading tokens: the anchor gram's hash; context: a hash of the whole run). Runs equal
-   to one of a smaller key in the same task are settled there; a text that a third of all rows share
-   leaves a task once.
-2. Splitters sampled from the suffixes range-partition runs by (leading tokens, context). Buckets
-   sort locally. Equal runs: all but those of the smallest key are covered. Runs that share leading
-   tokens but not the context may share some of their strings: those of the smallest key go on.
-3. Their bytes are fetched; the suffixes of runs with the same leading tokens are sorted byte by byte by
-   multikey quicksort (with characters of 8 bytes), and equal strings next to each other are compared.
-   Leading tokens that lie across a bucket boundary, or have more than ``LIMIT`` contexts, are compared
-   across buckets instead: their strings are dealt by all of their bytes, settled before and after.
+1. Map: runs as (leading tokens: the bytes of the anchor gram, with which the run's suffixes begin; context: a
+   hash of the whole run). Runs equal to one of a smaller key in the same task are settled there; a text that a
+   third of all rows share leaves a task once.
+2. Splitters sampled from the suffixes range-partition runs by (leading bytes, context) into cells. A task takes
+   one cell after another and sorts it by multikey quicksort, with characters of 8 bytes. Equal runs: all but those
+   of the smallest key are covered. Runs that share leading bytes but not the context may share some of their
+   strings: those of the smallest key go on.
+3. Their bytes are fetched; in the same ranges, the suffixes of runs with the same leading bytes are sorted byte
+   by byte by multikey quicksort, and equal strings next to each other are compared. Leading bytes that
+   lie across a boundary, or have more than ``LIMIT`` contexts, are compared across cells instead:
+   their strings are dealt by all of their bytes, settled before and after.
 4. Spans meet their documents, which are cut.
 
-Contexts are 64-bit hashes within equal 48-bit leading tokens; strings that differ only in part are
-compared by their bytes. Rows with a null key neither remove nor lose anything; null texts are
-empty. Repeated rows of a key don't count against each other, and each gets its own spans.
+A cell's runs come from about ``CELL_BYTES`` of text; beyond ``MANY_CELLS`` cells they grow with the square root of
+the corpus, so that neither the cells in memory nor the pieces a task sends get out of hand. Contexts are 64-bit
+hashes within equal 16 leading bytes; strings that differ only in part are compared by their bytes. Rows with a null
+key neither remove nor lose anything; null texts are empty. Repeated rows of a key don't count against each other, and
+each gets its own spans. Just key and text are read, so further columns can have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import shared_folder, shuffle_partitions
+from skein.llm.common import sampled, shuffle_partitions, written
 
 LENGTH = 50
 LIMIT = 50_000
 #: bytes hashed at once, bytes gathered before runs are sorted and sent, longest piece of a text
-CHUNK, GATHER, PIECE = 1 << 21, 1 << 25, 1 << 24
+CHUNK, GATHER, PIECE = 1 << 21, 1 << 24, 1 << 24
+CELL_BYTES, MANY_CELLS = 1 << 22, 8192
 SAMPLE_DOCS = 2_000
 _RANDOM = np.random.default_rng(20240101)
 _TABLE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,7 +56,8 @@ _LOW = np.uint64((1 << 24) - 1)
 
 
 def gram_size(length: int) -> int:
-    return max(4, length * 9 // 25)
+    """At most 16: a gram's bytes are two characters of 8."""
+    return min(16, max(4, length * 9 // 25))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,13 +88,13 @@ def _window_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]
 
 
 def _runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs in joined texts: (leading tokens, context, first string, number of strings).
+    """Runs in joined texts: (leading bytes, the next 8, context, first string, number of strings).
 
     ``ends`` gives for each byte the end of its text; strings that cross an end don't count.
     """
     size = gram_size(length)
     wide = length - size + 1
-    none = tuple(np.empty(0, np.int64) for _ in range(4))
+    none = (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(2)))
     if len(data) < length:
         return none
     grams, whole = _window_hashes(data, (size, length))
@@ -111,11 +115,14 @@ def _runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     a, s0, s1 = anchor[first], starts[first], starts[last]
     shape = ((a - s0) * 256 + (s1 - s0)).astype(np.uint64)
     context = _mix(whole[s0] * np.uint64(0x9E3779B97F4A7C15) + _mix(whole[s1]) + shape * np.uint64(0xC2B2AE3D27D4EB4F))
-    return mixed[a] >> np.uint64(16), context, s0, s1 - s0 + 1
+    lead = np.zeros((len(a), 16), np.uint8)
+    lead[:, :size] = np.lib.stride_tricks.sliding_window_view(data, size)[a]
+    chars = lead.view(">u8").astype(np.uint64)
+    return chars[:, 0].copy(), chars[:, 1].copy(), context, s0, s1 - s0 + 1
 
 
 class _Gatherer:
-    """Collects the runs of many texts: arrays gram, context, key, crc, start, count."""
+    """Collects the runs of many texts: arrays lead, next, context, key, crc, start, count."""
 
     def __init__(self, length: int):
         self.length = length
@@ -161,16 +168,16 @@ class _Gatherer:
         data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
         lens = np.array([len(p[3]) for p in pieces])
         stops = np.cumsum(lens)
-        gram, context, start, count = _runs_of(data, np.repeat(stops, lens), self.length)
+        lead, then, context, start, count = _runs_of(data, np.repeat(stops, lens), self.length)
         which = np.searchsorted(stops, start, "right")
         keys, crcs, offsets = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
-        self.parts.append((gram, context, keys[which], crcs[which], start - (stops - lens)[which] + offsets[which], count.astype(np.int64)))
+        self.parts.append((lead, then, context, keys[which], crcs[which], start - (stops - lens)[which] + offsets[which], count.astype(np.int64)))
 
     def take(self) -> tuple[np.ndarray, ...]:
         self.hash()
         parts, self.parts, self.bytes = self.parts, [], 0
         if not parts:
-            return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))
+            return (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(4)))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
@@ -184,12 +191,12 @@ def _unplanes(b: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def pack(runs: tuple[np.ndarray, ...]) -> bytes:
-    """Runs sorted by gram as one compressed value; keys and checksums once per text."""
-    gram, context, key, crc, start, count = runs
-    n = len(gram)
+    """Sorted runs as one compressed value; keys and checksums once per text."""
+    lead, then, context, key, crc, start, count = runs
+    n = len(lead)
     texts, which = np.unique(np.stack([key, crc], axis=1), axis=0, return_inverse=True) if n else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
     body = b"".join([
-        struct.pack("<qq", n, len(texts)), _planes(np.diff(gram, prepend=np.uint64(0))), _planes(context), _planes(which.reshape(-1).astype(np.uint32)), _planes(start.astype(np.int64)), count.astype(np.uint8).tobytes(),
+        struct.pack("<qq", n, len(texts)), _planes(np.diff(lead, prepend=np.uint64(0))), _planes(then), _planes(context), _planes(which.reshape(-1).astype(np.uint32)), _planes(start.astype(np.int64)), count.astype(np.uint8).tobytes(),
         _planes(np.diff(texts[:, 0], prepend=0)), _planes(texts[:, 1].astype(np.uint32)),
     ])
     return zstandard.ZstdCompressor(level=1).compress(body)
@@ -206,41 +213,72 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         at += width * rows
         return out
 
-    gram = np.cumsum(read(8, n, np.uint64), dtype=np.uint64)
-    context, which, start = read(8, n, np.uint64), read(4, n, np.uint32), read(8, n, np.int64)
+    lead = np.cumsum(read(8, n, np.uint64), dtype=np.uint64)
+    then, context, which, start = read(8, n, np.uint64), read(8, n, np.uint64), read(4, n, np.uint32), read(8, n, np.int64)
     count = np.frombuffer(body, np.uint8, n, at).astype(np.int64)
     at += n
     key = np.cumsum(read(8, m, np.int64), dtype=np.int64)
     crc = read(4, m, np.uint32).astype(np.int64)
-    return gram, context, key[which], crc[which], start, count
+    return lead, then, context, key[which], crc[which], start, count
 
 
 def _pick(runs: tuple[np.ndarray, ...], where: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[where] for c in runs)
 
 
+def multikey(chars: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts rows of 8-byte characters: (order, whether each sorted row differs from the one before).
+
+    Multikey quicksort: rows are parted by one character, and only rows that are equal so far go on to
+    the next.
+    """
+    n = len(chars[0])
+    order = np.argsort(chars[0], kind="quicksort")
+    new = np.ones(n, bool)
+    new[1:] = chars[0][order[1:]] != chars[0][order[:-1]]
+    for c in chars[1:]:
+        begins = np.nonzero(new)[0]
+        sizes = np.diff(np.append(begins, n))
+        group = np.repeat(np.arange(len(begins)), sizes)
+        tied = np.nonzero(np.repeat(sizes > 1, sizes))[0]
+        if not len(tied):
+            break
+        rows = order[tied]
+        inner = np.lexsort((c[rows], group[tied]))
+        order[tied] = rows[inner]
+        values = c[order[tied]]
+        differs = np.ones(len(tied), bool)
+        differs[1:] = (values[1:] != values[:-1]) | (group[tied][1:] != group[tied][:-1])
+        new[tied] |= differs
+    return order, new
+
+
 def _order(runs: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Order by leading tokens, context, key: the grams are sorted first, and only ties go on."""
-    return np.lexsort((runs[2], runs[1], runs[0]))
+    """Order by leading bytes, context, key."""
+    return multikey([runs[0], runs[1], runs[2], runs[3].view(np.uint64) ^ np.uint64(1 << 63)])[0] if len(runs[0]) else np.empty(0, np.int64)
 
 
 def settle_equal(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """For sorted runs: which have an equal run of a smaller key, and where contexts begin."""
-    gram, context, key = runs[:3]
-    fresh = np.ones(len(gram), bool)
-    fresh[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
-    smallest = key[np.nonzero(fresh)[0]][np.cumsum(fresh) - 1] if len(gram) else key
+    lead, then, context, key = runs[:4]
+    fresh = np.ones(len(lead), bool)
+    fresh[1:] = (lead[1:] != lead[:-1]) | (then[1:] != then[:-1]) | (context[1:] != context[:-1])
+    smallest = key[np.nonzero(fresh)[0]][np.cumsum(fresh) - 1] if len(lead) else key
     return key > smallest, fresh
 
 
-def splitters(docs: DataFrame, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``buckets - 1`` sorted (leading tokens, context) pairs from the suffixes of about ``SAMPLE_DOCS`` texts.
+def n_cells(total: int, least: int) -> int:
+    """How many ranges for ``total`` bytes of text."""
+    n = total / CELL_BYTES
+    return max(least, int(n if n <= MANY_CELLS else MANY_CELLS * math.sqrt(n / MANY_CELLS)))
 
-    They balance buckets; results don't depend on them.
-    """
-    n = docs.count()
-    part = int(min(1.0, SAMPLE_DOCS / max(1, n)) * 1_000_000)
 
+def splitters(docs: DataFrame, rows: int, cells: int, length: int) -> np.ndarray:
+    """``cells - 1`` sorted (leading bytes, next, context) rows from the suffixes of about ``SAMPLE_DOCS`` texts.
+
+    They balance cells; results don't depend on them. A boundary lies where its leading bytes begin (context
+    0), but for bytes so frequent that several boundaries fall on them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gatherer(length)
         for b in batches:
@@ -251,41 +289,53 @@ def splitters(docs: DataFrame, buckets: int, length: int) -> tuple[np.ndarray, n
         yield thin(held.take())
 
     def thin(runs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        gram, context = runs[0], runs[1]
-        chosen = _mix(gram ^ (context << np.uint64(7))) % np.uint64(16) == 0 if len(gram) > 50_000 else np.ones(len(gram), bool)
-        return pa.record_batch([pa.array(gram[chosen].view(np.int64)), pa.array(context[chosen].view(np.int64))], names=["gram", "context"])
-
-    keys = docs.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < part).mapInArrow(run, "gram long, context long")
-    found = keys.orderBy(F.xxhash64("gram", "context")).limit(100_000).toArrow()
-    gram, context = found["gram"].to_numpy().view(np.uint64), found["context"].to_numpy().view(np.uint64)
-    order = np.lexsort((context, gram))
-    at = (np.arange(1, buckets) * len(order)) // buckets if len(order) else np.empty(0, np.int64)
-    return gram[order[at]], context[order[at]]
-
-
-def bucket_of(gram: np.ndarray, context: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The number of splitters at or below each pair."""
-    low, high = np.searchsorted(cuts[0], gram, "left"), np.searchsorted(cuts[0], gram, "right")
-    out = low.copy()
+        chosen = _mix(runs[0] ^ (runs[2] << np.uint64(7))) % np.uint64(16) == 0 if len(runs[0]) > 50_000 else np.ones(len(runs[0]), bool)
+        return pa.record_batch([pa.array(c[chosen].view(np.int64)) for c in runs[:3]], names=["lead", "then", "context"])
+
+    keys = docs.filter(sampled(F.col("key"), SAMPLE_DOCS / max(1, rows))).mapInArrow(run, "lead long, then long, context long")
+    found = keys.orderBy(F.xxhash64("lead", "then", "context")).limit(100_000).toArrow()
+    columns = [found[c].to_numpy().view(np.uint64) for c in ("lead", "then", "context")]
+    if not len(columns[0]):
+        return np.empty((0, 3), np.uint64)
+    order = np.lexsort(columns[::-1])
+    cuts = np.stack(columns, axis=1)[order[(np.arange(1, cells) * len(order)) // cells]]
+    again = np.zeros(len(cuts), bool)
+    again[1:] = (cuts[1:, :2] == cuts[:-1, :2]).all(axis=1)
+    cuts[~again, 2] = 0
+    return cuts
+
+
+def cell_starts(runs: tuple[np.ndarray, ...], cuts: np.ndarray) -> np.ndarray:
+    """Where each cell begins among sorted runs: a run belongs to the last splitter at or below it."""
+    out = np.zeros(len(cuts) + 2, np.int64)
+    out[-1] = len(runs[0])
+    low, high = np.searchsorted(runs[0], cuts[:, 0], "left"), np.searchsorted(runs[0], cuts[:, 0], "right")
     for i in np.nonzero(high > low)[0].tolist():
-        out[i] = low[i] + np.searchsorted(cuts[1][low[i] : high[i]], context[i], "right")
+        a, b = low[i], high[i]
+        for c in (1, 2):
+            a, b = a + np.searchsorted(runs[c][a:b], cuts[i, c], "left"), a + np.searchsorted(runs[c][a:b], cuts[i, c], "right")
+        low[i] = a
+    out[1:-1] = low
     return out
 
 
-_OUT = "kind int, key long, crc long, start long, count int, gram long"
+_OUT = "kind int, key long, crc long, start long, count int, cell int, lead long, then long"
+_NAMES = ["kind", "key", "crc", "start", "count", "cell", "lead", "then"]
 
 
-def _rows(kind: int, key: np.ndarray, crc: np.ndarray, start: np.ndarray, count: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(crc), pa.array(start), pa.array(count.astype(np.int32)), pa.array(gram.view(np.int64))], names=["kind", "key", "crc", "start", "count", "gram"])
+def _rows(kind: int, key: np.ndarray, crc: np.ndarray, start: np.ndarray, count: np.ndarray, cell: int = 0, lead: np.ndarray | None = None, then: np.ndarray | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(key), np.int64)
+    given = [none if x is None else x.view(np.int64) for x in (lead, then)]
+    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(crc), pa.array(start), pa.array(count.astype(np.int32)), pa.array(np.full(len(key), cell, np.int32)), *map(pa.array, given)], names=_NAMES)
 
 
-COVERED, OPEN, WIDE = 0, 1, 2  # settled spans; runs to compare in a bucket; runs to compare across buckets
+COVERED, OPEN, WIDE = 0, 1, 2  # settled spans; runs to compare in a cell; runs to compare across cells
 
 
-def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
+def find_runs(docs: DataFrame, length: int, limit: int, cells: int, rows: int) -> DataFrame:
     """Steps 1 and 2 over ``key, text``: rows of ``_OUT``."""
     n = shuffle_partitions(docs.sparkSession)
-    cuts = splitters(docs, n, length)
+    cuts = splitters(docs, rows, cells, length)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gatherer(length)
@@ -300,85 +350,71 @@ def find_runs(docs: DataFrame, length: int, limit: int) -> DataFrame:
         runs = _pick(runs, _order(runs))
         covered, _ = settle_equal(runs)
         rest = _pick(runs, ~covered)
-        bucket = bucket_of(rest[0], rest[1], cuts)
-        starts = np.searchsorted(bucket, np.arange(n + 1), "left")
-        ids, blobs, done = [], [], []
-        for i in range(n):
-            if starts[i + 1] > starts[i]:
-                ids.append(i)
-                blobs.append(pack(tuple(c[starts[i] : starts[i + 1]] for c in rest)))
-                done.append(False)
-        for i, at in enumerate(range(0, int(covered.sum()), 100_000)):
-            part = np.nonzero(covered)[0][at : at + 100_000]
-            ids.append(int(runs[2][part[0]]) % n if n else i)
-            blobs.append(pack(_pick(runs, part)))
-            done.append(True)
-        for at in range(0, len(ids), 64):
-            yield pa.record_batch([pa.array(ids[at : at + 64], pa.int32()), pa.array(done[at : at + 64], pa.bool_()), pa.array(blobs[at : at + 64], pa.binary())], names=["bucket", "done", "blob"])
-
-    across = set(cuts[0].tolist())
+        starts = cell_starts(rest, cuts)
+        out: list[tuple[int, int, bytes]] = []
+        for i in np.nonzero(np.diff(starts))[0].tolist():
+            out.append((i * n // cells, i, pack(tuple(c[starts[i] : starts[i + 1]] for c in rest))))
+        done = np.nonzero(covered)[0]
+        for at in range(0, len(done), 100_000):
+            part = done[at : at + 100_000]
+            out.append((int(runs[3][part[0]]) % n, -1, pack(_pick(runs, part))))
+        for at in range(0, len(out), 64):
+            ids, numbers, blobs = zip(*out[at : at + 64], strict=True)
+            yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "cell", "blob"])
+
+    across = {(int(a), int(b)) for a, b, c in cuts if c}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts: list[bytes] = []
+        now = -1
         for b in batches:
-            for done, blob in zip(b["done"].to_pylist(), b["blob"], strict=True):
-                runs = unpack(blob.as_py())
-                if done:
-                    yield _rows(COVERED, runs[2], runs[3], runs[4], runs[5], runs[0])
-                else:
-                    parts.append(runs)
+            for cell, blob in zip(b["cell"].to_pylist(), b["blob"], strict=True):
+                if cell < 0:  # spans that a task settled by itself
+                    runs = unpack(blob.as_py())
+                    yield _rows(COVERED, *runs[3:])
+                    continue
+                if cell != now:
+                    yield from settle(now, parts)
+                    now, parts = cell, []
+                parts.append(blob.as_py())
+        yield from settle(now, parts)
+
+    def settle(cell: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
-        runs = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
+        runs = tuple(np.concatenate(c) for c in zip(*map(unpack, parts), strict=True))
         runs = _pick(runs, _order(runs))
         covered, fresh = settle_equal(runs)
-        gram, _, key = runs[:3]
-        first = np.ones(len(gram), bool)
-        first[1:] = gram[1:] != gram[:-1]
+        lead, then, _, key = runs[:4]
+        first = np.ones(len(lead), bool)
+        first[1:] = (lead[1:] != lead[:-1]) | (then[1:] != then[:-1])
         at = np.nonzero(first)[0]
         which = np.cumsum(first) - 1
         contexts = np.add.reduceat(fresh.astype(np.int64), at)
         several = (contexts > 1) & (np.minimum.reduceat(key, at) < np.maximum.reduceat(key, at))
-        wide = np.isin(gram[at], np.fromiter(across, np.uint64, len(across)))
+        wide = np.zeros(len(at), bool)
+        if across:
+            near = np.nonzero(np.isin(lead[at], np.fromiter((a for a, _ in across), np.uint64, len(across))))[0]
+            wide[near] = [(int(lead[at[i]]), int(then[at[i]])) in across for i in near]
         kind = np.where(wide | (several & (contexts > limit)), WIDE, np.where(several, OPEN, -1))[which]
         kind[covered] = COVERED
         for k in (COVERED, OPEN, WIDE):
             some = np.nonzero(kind == k)[0]
             for i in range(0, len(some), 100_000):
                 got = _pick(runs, some[i : i + 100_000])
-                yield _rows(k, got[2], got[3], got[4], got[5], got[0])
+                yield _rows(k, *got[3:], cell, got[0], got[1])
 
-    sent = docs.mapInArrow(send, "bucket int, done boolean, blob binary")
-    return sent.repartitionById(n, F.col("bucket")).mapInArrow(meet, _OUT)
+    sent = docs.mapInArrow(send, "bucket int, cell int, blob binary")
+    return sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("cell").mapInArrow(meet, _OUT)
 
 
 def multikey_order(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts rows of bytes: (order, whether each sorted row differs from the one before).
-
-    Multikey quicksort with characters of 8 bytes: rows are parted by one character, and only rows
-    that are equal so far go on to the next.
-    """
+    """``multikey`` of rows of bytes."""
     n, width = strings.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = strings
     chars = padded.view(">u8").astype(np.uint64)
-    order = np.argsort(chars[:, 0], kind="quicksort")
-    new = np.ones(n, bool)
-    new[1:] = chars[order[1:], 0] != chars[order[:-1], 0]
-    for c in range(1, chars.shape[1]):
-        group = np.cumsum(new) - 1
-        tied = np.nonzero(np.bincount(group)[group] > 1)[0]
-        if not len(tied):
-            break
-        rows = order[tied]
-        inner = np.lexsort((chars[rows, c], group[tied]))
-        order[tied] = rows[inner]
-        values = chars[order[tied], c]
-        differs = np.ones(len(tied), bool)
-        differs[1:] = (values[1:] != values[:-1]) | (group[tied][1:] != group[tied][:-1])
-        new[tied] |= differs
-    return order, new
+    return multikey(list(chars.T)) if n else (np.empty(0, np.int64), np.empty(0, bool))
 
 
 def _bytes_hash(strings: np.ndarray) -> np.ndarray:
@@ -427,7 +463,7 @@ def _spans(key: np.ndarray, crc: np.ndarray, start: np.ndarray) -> tuple[np.ndar
 def _covered_rows(key: np.ndarray, crc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(key):
         k, c, s, n = _spans(key, crc, start)
-        yield _rows(COVERED, k, c, s, n, np.zeros(len(k), np.uint64))
+        yield _rows(COVERED, k, c, s, n)
 
 
 def _strings_of(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
@@ -436,8 +472,8 @@ def _strings_of(t: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     return strings, t["key"].to_numpy()[which], t["crc"].to_numpy()[which], t["start"].to_numpy()[which] + place
 
 
-def compare_open(runs: DataFrame, length: int) -> DataFrame:
-    """Step 3 in buckets, over ``gram, key, crc, start, count, bytes``: covered spans (COVERED rows)."""
+def compare_open(runs: DataFrame, length: int, cells: int) -> DataFrame:
+    """Step 3 in cells, over runs with their bytes: covered spans (COVERED rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -446,8 +482,9 @@ def compare_open(runs: DataFrame, length: int) -> DataFrame:
             rows += b.num_rows
             if rows >= 20_000:
                 t = pa.Table.from_batches(held).combine_chunks()
-                gram = t["gram"].to_numpy()
-                whole = int(np.searchsorted(gram, gram[-1], "left"))  # the last gram may go on
+                lead, then = t["lead"].to_numpy(), t["then"].to_numpy()
+                other = np.nonzero((lead != lead[-1]) | (then != then[-1]))[0]
+                whole = int(other[-1]) + 1 if len(other) else 0  # the last leading bytes may go on
                 if whole:
                     yield from settle(t.slice(0, whole))
                     t = t.slice(whole)
@@ -461,7 +498,7 @@ def compare_open(runs: DataFrame, length: int) -> DataFrame:
         yield from _covered_rows(key[hit], crc[hit], start[hit])
 
     n = shuffle_partitions(runs.sparkSession)
-    return runs.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, _OUT)
+    return runs.repartitionById(n, F.floor(F.col("cell").cast("long") * n / cells).cast("int")).sortWithinPartitions("cell", "lead", "then").mapInArrow(run, _OUT)
 
 
 def compare_wide(runs: DataFrame, length: int) -> DataFrame:
@@ -512,7 +549,7 @@ def compare_wide(runs: DataFrame, length: int) -> DataFrame:
                 key, crc, start = (_unplanes(body[8 + 8 * m * i : 8 + 8 * m * (i + 1)], m, np.int64) for i in range(3))
                 rest = body[8 + 24 * m :]
                 if done:
-                    yield _rows(COVERED, key, crc, start, np.frombuffer(rest, np.int64), np.zeros(m, np.uint64))
+                    yield _rows(COVERED, key, crc, start, np.frombuffer(rest, np.int64))
                 else:
                     parts.append((np.frombuffer(rest, np.uint8).reshape(m, length), key, crc, start))
         if parts:
@@ -524,8 +561,8 @@ def compare_wide(runs: DataFrame, length: int) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of runs: ``kind, gram, key, crc, start, count, bytes``; lists are by text, so bounded by it."""
-    lists = wanted.groupBy("key", "crc").agg(F.collect_list(F.struct("kind", "gram", "start", "count")).alias("runs")).withColumnsRenamed({"key": "k2", "crc": "c2"})
+    """The bytes of runs: ``_OUT`` and ``bytes``; lists are by text, so bounded by it."""
+    lists = wanted.groupBy("key", "crc").agg(F.collect_list(F.struct("kind", "start", "count", "cell", "lead", "then")).alias("runs")).withColumnsRenamed({"key": "k2", "crc": "c2"})
     met = docs.filter("key is not null").withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(lists, (F.col("key") == F.col("k2")) & (F.col("crc") == F.col("c2")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,20 +573,10 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 start, count = runs.field("start").to_numpy(), runs.field("count").to_numpy()
                 taken = [data[s : s + c + length - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
                 m = len(taken)
-                yield pa.record_batch([runs.field("kind"), runs.field("gram"), pa.array(np.full(m, b["key"][i].as_py(), np.int64)), pa.array(np.full(m, b["crc"][i].as_py(), np.int64)), runs.field("start"), runs.field("count"), pa.array(taken, pa.binary())], names=["kind", "gram", "key", "crc", "start", "count", "bytes"])
-
-    return met.select("key", "crc", "text", "runs").mapInArrow(run, "kind int, gram long, key long, crc long, start long, count int, bytes binary")
+                own = {"key": pa.array(np.full(m, b["key"][i].as_py(), np.int64)), "crc": pa.array(np.full(m, b["crc"][i].as_py(), np.int64))}
+                yield pa.record_batch([own[c] if c in own else runs.field(c) for c in _NAMES] + [pa.array(taken, pa.binary())], names=[*_NAMES, "bytes"])
 
-
-def stored(df: DataFrame, folder: str) -> DataFrame:
-    """Writes a step's result into the shared folder, then lets go of the shuffle files behind it."""
-    spark = df.sparkSession
-    df.write.parquet(folder)
-    out = spark.read.parquet(folder)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return met.select("key", "crc", "text", "runs").mapInArrow(run, f"{_OUT}, bytes binary")
 
 
 def cover(spans: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -570,12 +597,13 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
     ``key`` has to be an integer column; its order says which document keeps a string.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/substrings-{uuid4().hex}"
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = stored(find_runs(rows.filter("key is not null"), length, limit), f"{folder}/runs")
-    bytes_ = stored(fetch(rows, found.filter(f"kind <> {COVERED}"), length), f"{folder}/bytes")
-    near = compare_open(bytes_.filter(f"kind = {OPEN}"), length)
+    keyed = rows.filter("key is not null")
+    n, total = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    cells = n_cells(total, shuffle_partitions(docs.sparkSession))
+    found = written(find_runs(keyed, length, limit, cells, n), "substrings-runs")
+    bytes_ = written(fetch(rows, found.filter(f"kind <> {COVERED}"), length), "substrings-bytes")
+    near = compare_open(bytes_.filter(f"kind = {OPEN}"), length, cells)
     far = compare_wide(bytes_.filter(f"kind = {WIDE}"), length)
     spans = found.filter(f"kind = {COVERED}").unionByName(near).unionByName(far)
     lists = spans.groupBy(F.col("key").alias("k2"), F.col("crc").alias("c2")).agg(F.collect_list(F.struct("start", "count")).alias("spans"))

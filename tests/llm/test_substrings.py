@@ -39,8 +39,9 @@ def test_equals_brute_force(spark):
     assert got == brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
-@pytest.mark.parametrize("limit", [50_000, 3])
-def test_shared_lines_in_changing_surroundings(spark, limit):
+@pytest.mark.parametrize(("limit", "cell"), [(50_000, S.CELL_BYTES), (3, S.CELL_BYTES), (50_000, 200)])
+def test_shared_lines_in_changing_surroundings(spark, limit, cell, monkeypatch):
+    monkeypatch.setattr(S, "CELL_BYTES", cell)
     rnd = random.Random(limit)
     word = lambda: "".join(rnd.choices("abcdeé", k=rnd.randint(1, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -69,7 +70,7 @@ def test_long_text_and_empty_table(spark, monkeypatch):
     long = "".join(rnd.choices("abcdefgh ", k=20_000))
     held.add(1, long)
     runs = held.take()
-    covered = sorted((s, s + c) for s, c in zip(runs[4].tolist(), runs[5].tolist(), strict=True))
+    covered = sorted((s, s + c) for s, c in zip(runs[5].tolist(), runs[6].tolist(), strict=True))
     assert covered[0][0] == 0 and covered[-1][1] == 20_000 - 49 and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
     packed = S.unpack(S.pack(S._pick(runs, S._order(runs))))
     assert all((a == b).all() for a, b in zip(packed, S._pick(runs, S._order(runs)), strict=True))
@@ -84,3 +85,27 @@ def test_multikey_order():
     got = [rows[i].tobytes() for i in order]
     assert got == sorted(r.tobytes() for r in rows)
     assert new.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(500)]
+
+
+def test_runs_are_sorted_by_their_bytes_and_cells_are_ranges():
+    rnd = random.Random(4)
+    held = S._Gatherer(50)
+    for k in range(40):
+        held.add(k - 20, " ".join(rnd.choices(["alpha", "beta", "gamma", "delta"], k=200)))
+    runs = held.take()
+    runs = S._pick(runs, S._order(runs))
+    rows = list(zip(*(c.tolist() for c in runs[:4]), strict=True))
+    assert rows == sorted(rows)
+    lead = b"".join(int(x).to_bytes(8, "big") for x in rows[0][:2])
+    assert len(lead.split()) >= 2  # the bytes of a text
+    picks = sorted(rnd.sample(range(len(rows)), 30))
+    cuts = np.array([rows[i][:3] for i in picks] + [(2**63, 0, 0), (2**63, 0, 5)], np.uint64)
+    starts = S.cell_starts(runs, cuts)
+    assert starts.tolist() == [0, *[sum(r[:3] < tuple(map(int, c)) for r in rows) for c in cuts], len(rows)]
+
+
+def test_cells_and_samples_of_any_corpus():
+    assert S.n_cells(0, 8) == 8 and S.n_cells(1 << 33, 8) == 2048
+    assert S.n_cells(100 << 40, 8) < 10**6 and (100 << 40) / S.n_cells(100 << 40, 8) < 1 << 28
+    for rows in (10**9, 10**11, 10**13):
+        assert 0.99 < int(S.SAMPLE_DOCS / rows * (1 << 64)) / 2**64 * rows / S.SAMPLE_DOCS <= 1.01
