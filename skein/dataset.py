@@ -79,11 +79,12 @@ class Dataset:
     def key_by(self, key: Column, value: Column) -> Dataset:
         return self.map(k=key, v=value)
 
-    def reduce_by_key(self, how: str | Monoid) -> Dataset:
-        return self._new(keyed.reduce_by_key(self.df, how))
+    def reduce_by_key(self, how: str | Monoid, partitions: int | None = None, place: Column | None = None) -> Dataset:
+        """``place``: the partition that a key's row goes to, a number from the columns k."""
+        return self._new(keyed.reduce_by_key(self.df, how, partitions=partitions, place=place))
 
-    def combine_by_key(self, combiners: dict[str, str | Monoid | Column], finish: dict[str, Column] | None = None) -> Dataset:
-        return self._new(keyed.combine_by_key(self.df, combiners, finish=finish))
+    def combine_by_key(self, combiners: dict[str, str | Monoid | Column], finish: dict[str, Column] | None = None, partitions: int | None = None, place: Column | None = None) -> Dataset:
+        return self._new(keyed.combine_by_key(self.df, combiners, finish=finish, partitions=partitions, place=place))
 
     def fold_by_key(self, zero: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> Dataset:
         self._by()
@@ -92,26 +93,26 @@ class Dataset:
     def combine_by_key_python(self, create: Callable, merge_value: Callable, merge_combiners: Callable, value_type: T.DataType, partitions: int | None = None) -> Dataset:
         return self._new(keyed.combine_by_key_python(self.df, create, merge_value, merge_combiners, value_type, partitions=partitions))
 
-    def group_with(self, *others: Dataset) -> Dataset:
-        return self._new(keyed.cogroup([self.df, *[o.df for o in others]]))
+    def group_with(self, *others: Dataset, partitions: int | None = None) -> Dataset:
+        return self._new(keyed.cogroup([self.df, *[o.df for o in others]], partitions=partitions))
 
-    def cogroup(self, other: Dataset) -> Dataset:
-        return self.group_with(other)
+    def cogroup(self, other: Dataset, partitions: int | None = None) -> Dataset:
+        return self.group_with(other, partitions=partitions)
 
-    def join(self, other: Dataset, nullable: bool = True) -> Dataset:
-        return self._new(keyed.join(self.df, other.df, "inner", nullable=nullable))
+    def join(self, other: Dataset, nullable: bool = True, partitions: int | None = None) -> Dataset:
+        return self._new(keyed.join(self.df, other.df, "inner", nullable=nullable, partitions=partitions))
 
-    def left_outer_join(self, other: Dataset, nullable: bool = True) -> Dataset:
-        return self._new(keyed.join(self.df, other.df, "left", nullable=nullable))
+    def left_outer_join(self, other: Dataset, nullable: bool = True, partitions: int | None = None) -> Dataset:
+        return self._new(keyed.join(self.df, other.df, "left", nullable=nullable, partitions=partitions))
 
-    def right_outer_join(self, other: Dataset, nullable: bool = True) -> Dataset:
-        return self._new(keyed.join(self.df, other.df, "right", nullable=nullable))
+    def right_outer_join(self, other: Dataset, nullable: bool = True, partitions: int | None = None) -> Dataset:
+        return self._new(keyed.join(self.df, other.df, "right", nullable=nullable, partitions=partitions))
 
-    def full_outer_join(self, other: Dataset, nullable: bool = True) -> Dataset:
-        return self._new(keyed.join(self.df, other.df, "full", nullable=nullable))
+    def full_outer_join(self, other: Dataset, nullable: bool = True, partitions: int | None = None) -> Dataset:
+        return self._new(keyed.join(self.df, other.df, "full", nullable=nullable, partitions=partitions))
 
-    def distinct(self) -> Dataset:
-        return self._new(keyed.distinct(self.to_df()))
+    def distinct(self, partitions: int | None = None) -> Dataset:
+        return self._new(keyed.distinct(self.to_df(), partitions=partitions))
 
     def union(self, *others: Dataset) -> Dataset:
         return self.ctx.union(self, *others)
@@ -161,11 +162,17 @@ class Dataset:
         self._by()
         return aggregates.fold_frame(self.df, zero, merge, column or self.columns[0], self.order).first()[0]
 
-    def max(self, key: Column | None = None) -> Any:
-        return self._extreme(key, True)
+    def reduce_with(self, fn: Callable[[Any, Any], Any], column: str | None = None) -> Any:
+        """Any Python function of two values, folded per partition and then over the partials; None if empty."""
+        df = self.df.orderBy(*self._by()) if self.order else self.df
+        return aggregates.reduce_partials(df, fn, column or self.columns[0])
+
+    def max(self, key: Column | None = None, compare: Callable[[Any, Any], float] | None = None) -> Any:
+        """By a key, or by a Python comparison of two values of the first column: above 0 if the first is larger."""
+        return self.reduce_with(lambda a, b: b if compare(b, a) >= 0 else a) if compare else self._extreme(key, True)
 
-    def min(self, key: Column | None = None) -> Any:
-        return self._extreme(key, False)
+    def min(self, key: Column | None = None, compare: Callable[[Any, Any], float] | None = None) -> Any:
+        return self.reduce_with(lambda a, b: b if compare(b, a) <= 0 else a) if compare else self._extreme(key, False)
 
     def _extreme(self, key: Column | None, largest: bool) -> Any:
         if key is None:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -20,6 +24,24 @@ def fold_frame(df: DataFrame, zero: Column, merge: Callable[[Column, Column], Co
     return df.agg(F.aggregate(rows, zero, lambda acc, row: merge(acc, row["__v"])).alias(name))
 
 
+def reduce_partials(df: DataFrame, fn: Callable[[Any, Any], Any], value: str) -> Any:
+    """Any Python function of two values: a left fold per partition, then one over the partials in the order of partitions.
+
+    A task holds one value, the driver one partial per partition. Rows are folded in the order of ``df``. No
+    rows give None.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc, some = None, False
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                acc, some = (fn(acc, v), True) if some else (v, True)
+        if some:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([cloudpickle.dumps(acc)], pa.binary())], names=["pid", "part"])
+
+    parts = sorted((r["pid"], r["part"]) for r in df.select(value).mapInArrow(fold, "pid int, part binary").collect())
+    return reduce(fn, [cloudpickle.loads(p) for _, p in parts]) if parts else None
+
+
 def max_by(df: DataFrame, key: Column, order: list[str] = (), largest: bool = True) -> DataFrame:
     """The row with the largest (or smallest) ``key``; of ties the last in ``order``."""
     rank = F.struct(key.alias("__k"), *[F.col(c) for c in order])

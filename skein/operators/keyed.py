@@ -12,19 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.keys import same_key
 from skein.functions.monoids import Monoid, monoid
+from skein.operators import placement
 
 
-def reduce_by_key(df: DataFrame, how: str | Monoid, key: str = "k", value: str = "v") -> DataFrame:
+def _grouped(df: DataFrame, key: str, aggregates: list[Column], partitions: int | None, place: Column | None) -> DataFrame:
+    """``groupBy(key).agg(...)`` dealt as asked.
+
+    With ``place`` (a partition number from the key's columns) rows go straight to their partition and are
+    reduced there: one exchange, and the result stays where it was placed. With ``partitions`` alone,
+    values combine before the shuffle and the rows per key are dealt by key.
+    """
+    if place is not None:
+        placed = placement.by_hash_of(df, partitions or placement.default_partitions(df), place)
+        return placed.groupBy(placement.PLACE, key).agg(*aggregates).drop(placement.PLACE)
+    out = df.groupBy(key).agg(*aggregates)
+    return out.repartition(placement.positive(partitions), key) if partitions is not None else out
+
+
+def reduce_by_key(df: DataFrame, how: str | Monoid, key: str = "k", value: str = "v", partitions: int | None = None, place: Column | None = None) -> DataFrame:
     """One row per key with the reduced value; null is a key like any other."""
-    return df.groupBy(key).agg(monoid(how)(F.col(value)).alias(value))
+    return _grouped(df, key, [monoid(how)(F.col(value)).alias(value)], partitions, place)
 
 
-def combine_by_key(df: DataFrame, combiners: dict[str, str | Monoid | Column], key: str = "k", value: str = "v", finish: dict[str, Column] | None = None) -> DataFrame:
+def combine_by_key(df: DataFrame, combiners: dict[str, str | Monoid | Column], key: str = "k", value: str = "v", finish: dict[str, Column] | None = None, partitions: int | None = None, place: Column | None = None) -> DataFrame:
     """Several combiners over one shuffle; ``finish`` derives the output columns from them."""
     made = [(c if isinstance(c, Column) else monoid(c)(F.col(value))).alias(name) for name, c in combiners.items()]
-    out = df.groupBy(key).agg(*made)
+    out = _grouped(df, key, made, partitions, place)
     return out if finish is None else out.select(key, *[c.alias(name) for name, c in finish.items()])
 
 
@@ -70,12 +84,13 @@ def combine_by_key_python(df: DataFrame, create: Callable[[Any], Any], merge_val
     return dealt.mapInPandas(merge, out_schema)
 
 
-def distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Each different row once (nulls, 0, '' and false are values like any other)."""
-    return df.dropDuplicates(columns) if columns else df.distinct()
+def distinct(df: DataFrame, columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Each different row once (nulls, 0, '' and false are values like any other); ``partitions`` deals the result by row."""
+    out = df.dropDuplicates(columns) if columns else df.distinct()
+    return out.repartition(placement.positive(partitions), *(columns or out.columns)) if partitions is not None else out
 
 
-def cogroup(frames: list[DataFrame], key: str = "k", value: str = "v", names: list[str] | None = None) -> DataFrame:
+def cogroup(frames: list[DataFrame], key: str = "k", value: str = "v", names: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """A row per key of any input, with one array of values per input (``[]`` where it has none).
 
     One exchange for all inputs: tagged rows are united and collected by key. Null values stay,
@@ -86,6 +101,8 @@ def cogroup(frames: list[DataFrame], key: str = "k", value: str = "v", names: li
     tagged = [f.select(F.col(key), F.lit(i).alias("__side"), *[(F.struct(F.col(value).alias("v")) if i == j else F.lit(None)).alias(f"__v{j}") for j in range(len(frames))]) for i, f in enumerate(frames)]
     typed = [f.select(key, "__side", *[F.col(f"__v{j}").cast(T.StructType([T.StructField("v", frames[j].schema[value].dataType)])).alias(f"__v{j}") for j in range(len(frames))]) for f in tagged]
     united = reduce(DataFrame.unionByName, typed)
+    if partitions is not None:  # lists don't get smaller by combining first, so the one exchange is this
+        united = united.repartition(placement.positive(partitions), key)
     lists = [F.transform(F.collect_list(f"__v{j}"), lambda s: s["v"]).alias(name) for j, name in enumerate(names)]
     return united.groupBy(key).agg(*lists)
 
@@ -93,14 +110,18 @@ def cogroup(frames: list[DataFrame], key: str = "k", value: str = "v", names: li
 group_with = cogroup
 
 
-def join(left: DataFrame, right: DataFrame, how: str = "inner", key: str = "k", left_value: str = "v", right_value: str = "v", names: tuple[str, str] = ("v", "v1"), nullable: bool = True) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, how: str = "inner", key: str = "k", left_value: str = "v", right_value: str = "v", names: tuple[str, str] = ("v", "v1"), nullable: bool = True, partitions: int | None = None) -> DataFrame:
     """``inner``, ``left``, ``right`` or ``full`` join on a null-safe key; an unmatched side is null.
 
-    ``nullable=False`` says that no key is null and lets Spark use a plain equality.
+    ``nullable=False`` says that no key is null and lets Spark use a plain equality. ``partitions`` deals
+    both sides over so many partitions by the very expressions that the join compares.
     """
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"how must be inner, left, right or full, not {how!r}")
-    a = left.select(F.col(key), F.col(left_value).alias("__l"))
-    b = right.select(F.col(key), F.col(right_value).alias("__r"))
-    k = {"inner": a[key], "left": a[key], "right": b[key], "full": F.coalesce(a[key], b[key])}[how]
-    return a.join(b, same_key(a, b, [key], nullable), how).select(k.alias(key), F.col("__l").alias(names[0]), F.col("__r").alias(names[1]))
+    a = left.select(F.col(key).alias("__ka"), F.col(left_value).alias("__l"))
+    b = right.select(F.col(key).alias("__kb"), F.col(right_value).alias("__r"))
+    if partitions is not None:
+        a, b = (placement.by_key(d, placement.positive(partitions), c, nullable) for d, c in ((a, "__ka"), (b, "__kb")))
+    x, y = F.col("__ka"), F.col("__kb")
+    k = {"inner": x, "left": x, "right": y, "full": F.coalesce(x, y)}[how]
+    return a.join(b, x.eqNullSafe(y) if nullable else x == y, how).select(k.alias(key), F.col("__l").alias(names[0]), F.col("__r").alias(names[1]))

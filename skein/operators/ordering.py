@@ -16,20 +16,22 @@ def sort_by(df: DataFrame, key: Column | str, ascending: bool = True, order: lis
     return df.orderBy(key.asc_nulls_first() if ascending else key.desc_nulls_last(), *[F.col(c).asc() for c in order])
 
 
-def with_position(df: DataFrame, by: list[Column], name: str = "pos", partitions: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, by: list[Column], name: str = "pos", partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Adds each row's dense 0-based rank in the order of ``by`` without a one-task window.
 
     Rows are range-partitioned and sorted; every partition is counted; a row's position is the
     rows of the partitions before it plus its place in its own. Only one count per partition leaves
-    the executors. The sorted rows are persisted, since both passes must see the same partitions.
+    the executors. The sorted rows are persisted, since both passes must see the same partitions;
+    ``spark.catalog.clearCache()`` frees them. ``total`` names a column for the number of rows.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = df.repartitionByRange(n, *by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__mid")).persist(StorageLevel.MEMORY_AND_DISK)
     counts = held.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row per partition
+    whole = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(whole).alias("__all"))  # a row per partition
     place = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return held.join(F.broadcast(starts), "__pid").select(*df.columns, (F.col("__start") + place).alias(name))
+    return held.join(F.broadcast(starts), "__pid").select(*df.columns, (F.col("__start") + place).alias(name), *([F.col("__all").alias(total)] if total else []))
 
 
 def take(df: DataFrame, n: int, by: list[Column] = ()) -> DataFrame:

@@ -19,6 +19,7 @@ from skein.functions.keys import same_key
 from skein.operators import aggregates, keyed, narrow, ordering, placement, setops
 from skein.session import Context
 from skein.sources import files
+from skein.sources.registry import Connector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +45,12 @@ def cents(column: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the one the cluster shares; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "skein")
+    """A fresh folder under the one the cluster shares; a local one only where none is set and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "skein")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -106,22 +111,42 @@ def src_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.lines_of(texts).withColumnRenamed("path", "doc_id")
 
 
+def _saved(ctx: Context, df: DataFrame, column: str) -> str:
+    """Rows of ``column`` as text files in a fresh shared folder: exact parts where it is mounted, Spark's otherwise."""
+    out, rows = shared_folder(ctx.spark), ctx.empty("value string").transform(lambda _: df.select(F.col(column).cast("string").alias("value")))
+    if files.local_path(out) is None:
+        rows.save_as_text(out)
+    else:
+        rows.save_as_text_parts(out)
+    return out
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, CAST(o_orderkey AS VARCHAR) AS value FROM orders")
+def src_text_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in order as a text file, read back in order of its lines."""
+    ctx = Context(spark)
+    out = _saved(ctx, table(spark, sf_dir, "orders").orderBy("o_orderkey").coalesce(1), "o_orderkey")
+    lines = ctx.text_file(out)
+    return ordering.with_position(lines.df, [F.col("__ord").asc()], "pos").select("pos", "value")
+
+
 @query("SELECT r_name AS value, CAST(1 AS BIGINT) AS n FROM region")
 def src_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per row is written, read back whole and counted by content."""
-    out = shared_folder(spark)
-    files.save_text(table(spark, sf_dir, "region").select("r_name").repartitionById(5, F.monotonically_increasing_id().cast("int")), out, column="r_name")
-    texts = files.hadoop_files(spark, out).select(files.decode(F.col("content")).alias("value")).where("value <> ''")
-    return texts.select(F.explode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ctx = Context(spark)
+    out = _saved(ctx, table(spark, sf_dir, "region").select("r_name", "r_regionkey").repartitionById(5, F.col("r_regionkey").cast("int")), "r_name")
+    texts = ctx.whole_text_files(out).to_df().where("text <> ''")
+    return texts.select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(SUM(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation")
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(SUM(strlen(n_name)) AS BIGINT) AS bytes FROM nation")
 def src_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of nations as files; the bytes of all files are counted."""
-    out = shared_folder(spark)
-    files.save_text(table(spark, sf_dir, "nation"), out, column="n_name")
-    found = files.hadoop_files(spark, out).select(F.decode("content", "utf-8").alias("t"), F.octet_length("content").alias("b"))
-    return found.agg(F.sum(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).cast("long").alias("n"), F.sum("b").cast("long").alias("bytes"))
+    """Names of nations as files; names and the bytes of all files but newlines are counted."""
+    ctx = Context(spark)
+    out = _saved(ctx, table(spark, sf_dir, "nation"), "n_name")
+    found = ctx.binary_files(out).to_df().where("octet_length(content) > 0")
+    words = found.select(F.octet_length("content").alias("b"), F.filter(F.split(F.decode("content", "utf-8"), "\n"), lambda w: w != "").alias("w"), (F.length(F.decode("content", "utf-8")) - F.length(F.replace(F.decode("content", "utf-8"), F.lit("\n"), F.lit("")))).alias("ends"))
+    return words.agg(F.sum(F.size("w")).cast("long").alias("n"), F.sum(F.col("b") - F.col("ends")).cast("long").alias("bytes"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS total, CAST(MIN(o_orderkey) AS BIGINT) AS low, CAST(MAX(o_orderkey) AS BIGINT) AS high FROM orders")
@@ -133,6 +158,28 @@ def sink_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.text_lines(spark, out, True).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(SUM(p_partkey) AS BIGINT) AS total FROM part")
+def sink_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys as exact part files and back."""
+    ctx = Context(spark)
+    v = F.col("value").cast("long")
+    return ctx.text_file(_saved(ctx, table(spark, sf_dir, "part"), "p_partkey")).df.agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"))
+
+
+@query("SELECT 'nation' AS path, n_name AS value FROM nation UNION ALL SELECT 'region', r_name FROM region")
+def src_connector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A connector of one's own serves its URLs: here ``table:<name>``, a table's names as one text."""
+    def read(session: SparkSession, url: str, recursive: bool) -> DataFrame:
+        name = url.removeprefix("table:")
+        text = F.array_join(F.sort_array(F.collect_list(f"{name[0]}_name")), "\n")
+        return table(session, sf_dir, name).agg(text.cast("binary").alias("content")).select(F.lit(url).alias("path"), "content")
+
+    ctx = Context(spark, file_connector=False)
+    ctx.register_connector(Connector(lambda url: url.startswith("table:"), read))
+    lines = [ctx.text_file(f"table:{n}").df.select(F.lit(n).alias("path"), "value") for n in ("nation", "region")]
+    return setops.union(*lines)
+
+
 # -- narrow
 
 
@@ -224,9 +271,34 @@ def distinct_falsy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.distinct(table(spark, sf_dir, "orders").select(F.expr("nullif(o_custkey % 5, 3)").alias("a"), b.alias("b")))
 
 
+@query("SELECT CAST(o_custkey % 5 AS INTEGER) AS pid, o_custkey, CAST(SUM(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS v FROM orders GROUP BY ALL")
+def reduce_by_key_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's row lies in the partition that was chosen for it."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", cents("o_totalprice").alias("v"))
+    return keyed.reduce_by_key(rows, "sum", "o_custkey", partitions=5, place=F.col("o_custkey") % 5).select(F.spark_partition_id().alias("pid"), "o_custkey", "v")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(MAX(event_id) AS BIGINT) AS last FROM events GROUP BY user_id")
+def combine_by_key_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.combine_by_key(table(spark, sf_dir, "events"), {"n": "count", "last": "max"}, "user_id", "event_id", partitions=12)
+
+
+@query("SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem")
+def distinct_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.distinct(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), partitions=3)
+
+
 # -- whole-dataset aggregates
 
 
+@query("SELECT CAST(SUM(o_orderkey * (1 + o_custkey % 3)) % 1000003 AS BIGINT) AS v FROM orders")
+def reduce_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function, folded per partition and over the partials."""
+    weighted = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * (1 + F.col("o_custkey") % 3) % 1000003).alias("v"))
+    total = aggregates.reduce_partials(weighted, lambda a, b: (a + b) % 1000003, "v")
+    return spark.createDataFrame([(total,)], "v long")
+
+
 @query("SELECT CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem")
 def reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.reduce_frame(table(spark, sf_dir, "lineitem"), "sum", cents("l_extendedprice"))
@@ -280,21 +352,22 @@ def group_with3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_name) AS x FROM nation WHERE n_nationkey < 12 GROUP BY 1), b AS (SELECT r_regionkey AS k, string_agg(r_name, ',' ORDER BY r_name) AS y FROM region WHERE r_regionkey > 1 GROUP BY 1)
+WITH a AS (SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_name) AS x FROM nation GROUP BY 1), b AS (SELECT s_nationkey AS k, string_agg(s_name, ',' ORDER BY s_name) AS y FROM supplier GROUP BY 1)
 SELECT k, coalesce(x, '') AS x, coalesce(y, '') AS y FROM a FULL JOIN b USING (k)""")
 def cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").filter("n_nationkey < 12").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("v"))
-    b = table(spark, sf_dir, "region").filter("r_regionkey > 1").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v"))
-    return keyed.cogroup([a, b], names=["x", "y"]).select("k", *[F.array_join(F.array_sort(c), ",").alias(c) for c in "xy"])
+    a = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("v"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("v"))
+    return keyed.cogroup([a, b], names=["x", "y"], partitions=6).select("k", *[F.array_join(F.array_sort(c), ",").alias(c) for c in "xy"])
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("v"))
-    return orders, lines
+    """Customers, and parts by number: neither side's keys all have a match."""
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("k"), F.col("c_nationkey").alias("v"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("v"))
+    return customers, lines
 
 
-_JOIN = "SELECT k, o.v AS v, l.v AS v1 FROM (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 3 <> 0) o {} JOIN (SELECT l_orderkey AS k, l_partkey AS v FROM lineitem WHERE l_orderkey % 5 <> 0) l USING (k)"
+_JOIN = "SELECT k, o.v AS v, l.v AS v1 FROM (SELECT c_custkey * 2 AS k, c_nationkey AS v FROM customer) o {} JOIN (SELECT l_partkey AS k, l_orderkey AS v FROM lineitem) l USING (k)"
 
 
 @query(_JOIN.format("INNER"))
@@ -318,12 +391,12 @@ def full_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _null_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = table(spark, sf_dir, "nation").select(F.expr("nullif(n_nationkey % 7, 0)").alias("k"), F.col("n_name").alias("v"))
-    b = table(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select(F.expr("nullif(s_nationkey % 9, 0)").alias("k"), F.col("s_name").alias("v"))
+    a = table(spark, sf_dir, "nation").select(F.expr("nullif(n_nationkey, 0)").alias("k"), F.col("n_name").alias("v"))
+    b = table(spark, sf_dir, "supplier").select(F.expr("if(s_nationkey = 3, 99, nullif(s_nationkey % 9, 0))").alias("k"), F.col("s_name").alias("v"))
     return a, b
 
 
-_NULLS = "SELECT coalesce(a.k, b.k) AS k, a.v AS v, b.v AS v1 FROM (SELECT nullif(n_nationkey % 7, 0) AS k, n_name AS v FROM nation) a {} JOIN (SELECT nullif(s_nationkey % 9, 0) AS k, s_name AS v FROM supplier WHERE s_suppkey <= 40) b ON a.k IS NOT DISTINCT FROM b.k"
+_NULLS = "SELECT coalesce(a.k, b.k) AS k, a.v AS v, b.v AS v1 FROM (SELECT nullif(n_nationkey, 0) AS k, n_name AS v FROM nation) a {} JOIN (SELECT CASE WHEN s_nationkey = 3 THEN 99 ELSE nullif(s_nationkey % 9, 0) END AS k, s_name AS v FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k"
 
 
 @query(_NULLS.format("INNER"))

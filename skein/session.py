@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import math
 from collections.abc import Callable, Iterable
 from functools import reduce
@@ -79,6 +80,13 @@ class Context:
     def register_connector(self, connector: Connector) -> None:
         self.registry.register(connector)
 
+    def _plain_files(self, url: str) -> bool:
+        """Whether ``url`` is read by the built-in readers: the file connector's, or Spark's where no connector accepts it."""
+        try:
+            return self.registry.find(url).read is files.all_files
+        except ValueError:
+            return True
+
     def binary_files(self, url: str, recursive: bool = False) -> Dataset:
         """``path, content`` of every file. Other stores than mounted ones go by Spark's own source."""
         try:
@@ -93,7 +101,15 @@ class Context:
         return Dataset(df.select("path", files.decode(F.col("content"), encoding).alias("text")), self, ["path"])
 
     def text_file(self, url: str, encoding: str = "utf-8", recursive: bool = False, decompressor: Callable[[bytes, str], bytes] | None = None, strip_cr: bool = False) -> Dataset:
-        """``value``: lines in the order of (path, line)."""
+        """``value``: lines in the order of (path, place); a large file is read by many tasks.
+
+        A decompressor, a connector of one's own, or an encoding whose newlines aren't single bytes takes whole files.
+        """
+        single = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}.get(codecs.lookup(encoding).name)
+        if decompressor is None and single and self._plain_files(url):
+            lines = files.ordered_lines(self.spark, url, recursive, single).withColumnRenamed("place", "__ord")
+            lines = lines.withColumn("value", F.regexp_replace("value", "\r$", "")) if strip_cr else lines
+            return Dataset(lines, self, ["__ord"])
         texts = self.whole_text_files(url, encoding, recursive, decompressor).to_df()
         lines = files.lines_of(texts, strip_cr).select("value", F.struct("path", "line").alias("__ord"))
         return Dataset(lines, self, ["__ord"])

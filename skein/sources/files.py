@@ -13,6 +13,7 @@ import base64
 import os
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
+from uuid import uuid4
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,19 +84,76 @@ class FilesSource(DataSource):
         return _FilesReader(self.options)
 
 
+class _BlockPart(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+#: bytes of a file that one task reads as lines
+LINE_BLOCK = 1 << 26
+
+
+class _LinesReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.recursive, self.block = options["path"], options.get("recursive", "false") == "true", int(options.get("block", LINE_BLOCK))
+
+    def partitions(self) -> list[InputPartition]:
+        parts = []
+        for p in list_files(self.path, self.recursive):
+            size = os.path.getsize(p)
+            parts += [_BlockPart(p, at, min(size, at + self.block)) for at in range(0, size, self.block)]
+        return parts or [_BlockPart("", 0, 0)]
+
+    def read(self, part: InputPartition) -> Iterator:
+        import pyarrow as pa
+
+        if not part.path:
+            return
+        with open(part.path, "rb") as f:
+            at = part.start
+            if at:  # a line belongs to the block in which it begins
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            while at < part.end:
+                values, places, held = [], [], 0
+                while at < part.end and held < 1 << 22:
+                    line = f.readline()
+                    values.append(line.removesuffix(b"\n"))
+                    places.append(at)
+                    at += len(line)
+                    held += len(line)
+                yield pa.record_batch([pa.array(["file://" + part.path] * len(values)), pa.array(places, pa.int64()), pa.array(values, pa.binary())], names=["path", "at", "line"])
+
+
+class LineBlocksSource(DataSource):
+    """Reads ``path, at, line``: every line's bytes and their place, large files by blocks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skein_line_blocks"
+
+    def schema(self) -> str:
+        return "path string, at bigint, line binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _LinesReader(self.options)
+
+
 class _Part(WriterCommitMessage):
-    def __init__(self, name: str):
-        self.name = name
+    def __init__(self, name: str, attempt: str):
+        self.name, self.attempt = name, attempt
 
 
 class _LinesWriter(DataSourceWriter):
+    """Tasks write into a staging folder of this write alone; the commit publishes just what they reported."""
+
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.encoding, self.extension = options["path"], options.get("encoding", "utf-8"), options.get("extension", "txt")
+        self.path, self.encoding, self.extension = options["path"].rstrip("/"), options.get("encoding", "utf-8"), options.get("extension", "txt")
         pickled = options.get("compressor", "")
         self.compressor = cloudpickle.loads(base64.b64decode(pickled)) if pickled else None
         if not overwrite and os.path.exists(self.path):
             raise FileExistsError(self.path)
-        self.staging = f"{self.path.rstrip('/')}.__staging"
+        self.staging = f"{self.path}.__staging-{uuid4().hex}"
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -103,19 +161,24 @@ class _LinesWriter(DataSourceWriter):
         context = TaskContext.get()
         data = "\n".join(row[0] if row[0] is not None else "" for row in rows).encode(self.encoding)
         os.makedirs(self.staging, exist_ok=True)
-        name = f"part-{context.partitionId()}.{self.extension}"
-        attempt = os.path.join(self.staging, f".{name}.{context.taskAttemptId()}")
+        attempt = os.path.join(self.staging, f".attempt-{context.partitionId()}-{context.taskAttemptId()}")
         with open(attempt, "wb") as f:
             f.write(self.compressor(data) if self.compressor else data)
-        os.replace(attempt, os.path.join(self.staging, name))
-        return _Part(name)
+        return _Part(f"part-{context.partitionId()}.{self.extension}", attempt)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         import shutil
 
-        shutil.rmtree(self.path, ignore_errors=True)
-        os.makedirs(self.staging, exist_ok=True)
-        os.replace(self.staging, self.path)
+        ready, old = f"{self.staging}-ready", f"{self.staging}-old"
+        os.makedirs(ready)
+        for m in messages:
+            if m is not None:
+                os.replace(m.attempt, os.path.join(ready, m.name))
+        if os.path.exists(self.path):
+            os.replace(self.path, old)
+        os.replace(ready, self.path)
+        for leftover in (old, self.staging):
+            shutil.rmtree(leftover, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         import shutil
@@ -139,6 +202,21 @@ def all_files(spark: SparkSession, url: str, recursive: bool = False) -> DataFra
     return spark.read.format("skein_files").option("recursive", str(recursive).lower()).load(local_path(url))
 
 
+def ordered_lines(spark: SparkSession, url: str, recursive: bool = False, encoding: str = "utf-8", block: int = LINE_BLOCK) -> DataFrame:
+    """``value, place``: lines, and what they are ordered by; a large file is read by many tasks.
+
+    Mounted folders: every file, split at newlines only. Other stores: Spark's text reader, which
+    splits and decompresses by name; lines follow each other by file, block and row.
+    """
+    path = local_path(url)
+    if path is not None:
+        spark.dataSource.register(LineBlocksSource)
+        found = spark.read.format("skein_line_blocks").option("recursive", str(recursive).lower()).option("block", str(block)).load(path)
+        return found.select(F.decode("line", encoding).alias("value"), F.struct("path", "at", F.lit(0).cast("long").alias("row")).alias("place"))
+    read = spark.read.option("lineSep", "\n").option("encoding", encoding).option("recursiveFileLookup", str(recursive).lower()).text(url)
+    return read.select("value", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place"))
+
+
 def hadoop_files(spark: SparkSession, url: str, recursive: bool = False) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(url)
     return files.select(F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("path"), "content")

@@ -224,6 +224,37 @@ def test_sort(ctx):
     assert [tuple(r) for r in pairs.sort_by(F.col("k"), False).collect()] == [(2, 1), (2, 2), (2, 3), (1, 1), (1, 2), (1, 3)]
 
 
+def test_partition_counts_and_places(ctx, spark):
+    pairs = ctx.range(1000).key_by(F.when(F.col("id") % 10 > 0, F.col("id") % 10), F.col("id"))
+    for ds in (pairs.reduce_by_key("sum", partitions=5), pairs.distinct(partitions=5), pairs.cogroup(pairs, partitions=5), pairs.combine_by_key({"n": "count"}, partitions=5)):
+        assert ds.num_partitions() == 5
+    few = pairs.reduce_by_key("max")
+    for how in ("join", "left_outer_join", "right_outer_join", "full_outer_join"):
+        joined = getattr(pairs, how)(few, partitions=5)
+        assert joined.count() == 1000 and joined.df.filter("k is null").count() == 100
+    place = F.when(F.col("k").isNull(), 2).otherwise(F.col("k") % 3)
+    placed = pairs.reduce_by_key("sum", partitions=4, place=place).df.select("k", "v", F.spark_partition_id().alias("p"))
+    assert {r.k: (r.v, r.p) for r in placed.collect()} == {k or None: (sum(range(k, 1000, 10)), 2 if k == 0 else k % 3) for k in range(10)}
+    plan = pairs.reduce_by_key("sum", partitions=4, place=place).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = ctx.parallelize([("a", 1)], KV).join(ctx.parallelize([("a", 2)], KV), partitions=5).df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # one a side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        pairs.distinct(partitions=0)
+
+
+def test_reduce_with_python_functions(ctx):
+    ordered = ctx.range(200).map(v=F.col("id").cast("string"))
+    assert ordered.reduce_with(lambda a, b: f"{a},{b}") == ",".join(map(str, range(200)))
+    assert ctx.range(0).reduce_with(lambda a, b: a + b) is None
+    by_tens = lambda a, b: a // 10 - b // 10
+    assert ctx.range(35).max(compare=by_tens) == 34 and ctx.range(35).min(compare=by_tens) == 9 and ctx.range(0).max(compare=by_tens) is None
+
+
 def test_positions_of_one_heavy_key(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * 7 % 5000).alias("o"))
     got = ordering.with_position(df, [F.col("k").asc(), F.col("o").asc()]).select("o", "pos").collect()
@@ -266,6 +297,32 @@ def test_listing_lines_and_odd_names(ctx, tmp_path):
     assert files.to_url("/x/y") == files.to_url("file:/x/y") == "file:///x/y"
 
 
+def test_lines_of_split_files(ctx, spark, tmp_path, monkeypatch):
+    lines = {"a": ["", "é" * 30, "x", "", "long " * 50, "end"], "b": [f"line {i}" for i in range(200)], "_c": ["no newline at the end"]}
+    for name, ls in lines.items():
+        (tmp_path / name).write_text("\n".join(ls) + ("\n" if name != "_c" else ""), encoding="utf-8")
+    want = [x for name in sorted(lines) for x in lines[name]]
+    for block in (33, 500, 1 << 20):
+        got = files.ordered_lines(spark, str(tmp_path), block=block)
+        assert [r.value for r in got.orderBy("place").collect()] == want
+    assert values(ctx.text_file(str(tmp_path))) == want and values(ctx.text_file(str(tmp_path / "b"), encoding="latin-1")) == lines["b"]
+    monkeypatch.setattr(files, "local_path", lambda url: None)  # as in other stores
+    other = files.ordered_lines(spark, f"file://{tmp_path}/b")
+    assert [r.value for r in other.orderBy("place").collect()] == lines["b"]
+
+
+def test_part_files_of_a_crashed_write_dont_come_back(ctx, tmp_path):
+    rows = ctx.range(4).map(value=F.col("id").cast("string"))
+    os.makedirs(f"{tmp_path}/out.__staging-dead")
+    (tmp_path / "out.__staging-dead" / "part-9.txt").write_text("stale")
+    os.makedirs(f"{tmp_path}/out.__staging")
+    (tmp_path / "out.__staging" / "part-9.txt").write_text("stale")
+    rows.repartition(2).save_as_text_parts(f"{tmp_path}/out")
+    assert sorted(os.listdir(tmp_path / "out")) == ["part-0.txt", "part-1.txt"]
+    rows.repartition(1).save_as_text_parts(f"{tmp_path}/out")
+    assert os.listdir(tmp_path / "out") == ["part-0.txt"] and not [n for n in os.listdir(tmp_path) if n.endswith(("-old", "-ready"))]
+
+
 def test_connectors(ctx, spark):
     own = Context(spark, file_connector=False)
     own.register_connector(Connector(lambda url: url.startswith("mem:"), lambda s, url, recursive: s.createDataFrame([(url, b"hi\nyou")], files.SCHEMA)))
