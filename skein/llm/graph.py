@@ -24,18 +24,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``u, component`` for every node with an edge, but for those that are their component's smallest.
 
     ``edges`` has numeric columns u and v in any order; loops don't count. Nothing but one count and
-    one checksum a round reaches the driver. Ends when a round changes nothing.
+    one checksum a round reaches the driver. Ends when a round changes nothing, after about as many rounds
+    as the logarithm of the longest path.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         now = cut(_star(_star(now, True), False))
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if seen == mark:
             return now.select("u", F.col("v").alias("component"))
         mark = seen
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")

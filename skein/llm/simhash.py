@@ -15,10 +15,12 @@ are labelled each by their own text. An empty table gives no rows; just key and
 
 At 3 of 64 bits only texts that are nearly equal meet, and fingerprints of 64 bits can't be split for 10
 differing bits without keys that match by chance. ``similar_documents`` therefore takes longer
-fingerprints for a similarity of 0.8 on five-word shingles: ``PLACES`` bytes, each from the least of a text's
-shingle hashes under one of as many permutations, so the share of equal bytes estimates the Jaccard
-similarity. The way is the same: of two fingerprints that differ in 25 of 128 bytes or fewer, one of 26
-blocks is equal; fingerprints join on blocks, and the number of differing bytes is verified.
+fingerprints for a similarity of 0.8 on five-word shingles: ``PLACES`` numbers of 16 bits, each from the least of
+a text's shingle hashes under one of as many permutations, so the share of equal places estimates the Jaccard
+similarity. The way is the same: of two fingerprints that differ in ``MOST`` of 128 places or fewer, one of ``MOST`` + 1
+blocks is equal; fingerprints join on blocks, and the differing places are counted. ``MOST`` leaves the
+estimate three standard deviations below 0.8. What is linked so far makes up clusters, and inside a cluster the
+similarity of the shingle sets themselves decides.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bitmaps import filter_of, split
-from skein.llm.common import cut, shuffle_partitions
+from skein.llm.common import cut, shuffle_partitions, written
 from skein.llm.graph import components
 
 SEED = 42
@@ -200,46 +202,69 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return fps.join(labelled, F.col("fp") == F.col("fp3")).select(F.col("key").alias(key), "fp", "component")
 
 
-PLACES, SIMILARITY, TILE = 128, 0.8, 16_384
+PLACES, SIMILARITY, MOST = 128, 0.8, 38
+#: rows of a block, and of a cluster with its shingles, that one task compares at once
+TILE, SET_TILE = 16_384, 2048
 _PERMUTE = np.random.default_rng(20240601).integers(0, 1 << 32, (2, PLACES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
 
 
-def signature(text: str | None, size: int = 5) -> bytes:
-    """``PLACES`` bytes of one text; texts without words have zeros, shorter ones than a shingle count whole."""
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """32-bit hashes of a text's different word shingles, sorted; a shorter text counts whole, one without words has none."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return bytes(PLACES)
+        return np.empty(0, np.uint32)
     digest = xxhash.xxh64_intdigest
     words = np.fromiter((digest(w, SEED) for w in tokens), np.uint64, len(tokens))
     n = max(1, len(words) - size + 1)
     mixed = np.zeros(n, np.uint64)
     for j in range(min(size, len(words))):
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
-    shingles = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    return np.unique(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32))
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """``PLACES`` 16-bit numbers of one set; zeros for the empty one."""
+    if not len(shingles):
+        return bytes(2 * PLACES)
     least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, n, 4096):
+    for at in range(0, len(shingles), 4096):
         least = np.minimum(least, (shingles[at : at + 4096, None] * _PERMUTE[0] + _PERMUTE[1]).min(axis=0))
-    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2").tobytes()
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int, row: str | None = None) -> DataFrame:
-    """``row, key, sig`` of every row."""
+def signatures(rows: DataFrame, size: int) -> DataFrame:
+    """``row, key, sig, whole`` of ``row, key, text``; ``whole`` is a hash of the shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            yield pa.record_batch([b["row"], b["key"], pa.array([signature(t.as_py(), size) for t in b["text"]], pa.binary())], names=["row", "key", "sig"])
+            sets = [shingle_set(t.as_py(), size) for t in b["text"]]
+            whole = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([b["row"], b["key"], pa.array(map(signature, sets), pa.binary()), pa.array(whole)], names=["row", "key", "sig", "whole"])
+
+    return rows.mapInArrow(run, f"row long, key {rows.schema['key'].dataType.simpleString()}, sig binary, whole long")
+
 
-    number = F.monotonically_increasing_id() if row is None else F.col(row)
-    read = docs.select(number.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return read.mapInArrow(run, f"row long, key {docs.schema[key].dataType.simpleString()}, sig binary")
+def similar(x: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets ``others`` have a Jaccard similarity of ``similarity`` or more with ``x``; empty sets are equal."""
+    sizes = np.array([len(o) for o in others])
+    if not len(x):
+        return sizes == 0
+    joined = np.concatenate([*others, np.zeros(1, np.uint32)])
+    place = np.minimum(np.searchsorted(x, joined), len(x) - 1)
+    same = np.concatenate([[0], np.cumsum(x[place] == joined)])
+    ends = np.cumsum(sizes)
+    both = same[ends] - same[ends - sizes]
+    return both >= similarity * (len(x) + sizes - both) - 1e-9
 
 
-def linked_within(sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the components of rows with ``most`` differing bytes or fewer: exact, without all pairs.
+def linked_within(sigs: np.ndarray, most: int, sets: list[np.ndarray] | None = None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the components of rows with ``most`` differing places or fewer (and similar ``sets``, if given).
 
-    From row to row, each is compared with those that no component has yet; a group of copies is
-    done after its first row.
+    Exact, without all pairs: from row to row, each is compared with those that no component has yet; a
+    group of copies is done after its first row.
     """
     free = np.arange(len(sigs))
     left: list[np.ndarray] = []
@@ -249,6 +274,8 @@ def linked_within(sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         while queue and len(free):
             x = queue.pop()
             near = np.concatenate([(sigs[free[i : i + 65536]] != sigs[x]).sum(axis=1) <= most for i in range(0, len(free), 65536)])
+            if sets is not None and near.any():
+                near[near] = similar(sets[x], [sets[i] for i in free[near].tolist()], similarity)
             if near.any():
                 found = free[near]
                 left.append(np.full(len(found), x))
@@ -259,63 +286,82 @@ def linked_within(sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def signature_edges(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
-    """``u, v`` among ``node, sig`` (distinct): edges of the components at ``most`` differing bytes or fewer.
+def group_edges(rows: DataFrame, counts: DataFrame, most: int, tile: int, similarity: float) -> DataFrame:
+    """``u, v``: edges inside the groups of ``node, key, sig`` and maybe ``shingles``; ``counts``: key, n.
 
-    Only blocks that several fingerprints share move with their bytes. A block with more than ``tile``
-    of them is dealt in tiles, and every two tiles meet: exact, and no task holds more than two.
+    A group with more than ``tile`` rows is dealt in tiles, and every two tiles meet: exact, and no task
+    holds more than two of them for a group.
+    """
+    large = counts.filter(F.col("n") > tile).select(F.col("key").alias("key2"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    hot, cool = split(rows, "key", filter_of(large, "key2"))
+    one = F.coalesce("tiles", F.lit(1))
+    dealt = hot.join(large, F.col("key") == F.col("key2"), "left").withColumn("own", F.pmod(F.xxhash64("node"), one).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), one - 1)))
+    pair = F.when(F.col("tiles").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    every = cool.unionByName(dealt.withColumn("key", pair).select(rows.columns))
+    with_sets = "shingles" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes]] = []
+        now = None
+        for b in batches:
+            for i, key in enumerate(b["key"].to_pylist()):
+                if key != now:
+                    yield from settle(held)
+                    now, held = key, []
+                held.append((b["node"][i].as_py(), b["sig"][i].as_py(), b["shingles"][i].as_py() if with_sets else b""))
+        yield from settle(held)
+
+    def settle(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            ids = np.array([h[0] for h in held], np.int64)
+            sigs = np.frombuffer(b"".join(h[1] for h in held), "<u2").reshape(-1, PLACES)
+            u, v = linked_within(sigs, most, [np.frombuffer(h[2], np.uint32) for h in held] if with_sets else None, similarity)
+            if len(u):
+                yield pa.record_batch([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    return every.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+
+
+def block_clusters(nodes: DataFrame, most: int, tile: int, similarity: float) -> DataFrame:
+    """``node2, root`` of ``node, sig``: clusters at ``most`` differing places or fewer, without those of one node.
+
+    Only blocks that several fingerprints share move with their numbers.
     """
     n_blocks = most + 1
-    edges = [PLACES * i // n_blocks for i in range(n_blocks + 1)]
+    edges = [2 * (PLACES * i // n_blocks) for i in range(n_blocks + 1)]
     key = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
     keyed = nodes.select("node", "sig", F.explode(key).alias("key"))
     several = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared, _ = split(keyed, "key", filter_of(several, "key"))
-    large = several.filter(F.col("n") > tile).select(F.col("key").alias("key2"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    hot, cool = split(shared, "key", filter_of(large, "key2"))
-    dealt = hot.join(large, F.col("key") == F.col("key2"), "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    paired = met.select("node", "sig", F.when(F.col("tiles").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"))
+    found = components(group_edges(shared, several, most, tile, similarity)).select(F.col("u").alias("node2"), F.col("component").alias("root"))
+    return cut(found.unionByName(found.select(F.col("root").alias("node2"), "root").distinct()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, sigs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, PLACES), np.uint8)
-        for b in batches:
-            keys = np.concatenate([keys, b["key"].to_numpy()])
-            ids = np.concatenate([ids, b["node"].to_numpy()])
-            sigs = np.concatenate([sigs, np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)])
-            last = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
-            yield from settle(keys[:last], ids[:last], sigs[:last])
-            keys, ids, sigs = keys[last:], ids[last:], sigs[last:]
-        yield from settle(keys, ids, sigs)
-
-    def settle(keys: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.nonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))[0]
-        us, vs = [], []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            if b - a > 1:
-                u, v = linked_within(sigs[a:b], most)
-                us.append(ids[a:b][u])
-                vs.append(ids[a:b][v])
-        if us:
-            yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    every = cool.select("node", "sig", "key").unionByName(paired)
-    return every.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY, tile: int = TILE, row: str | None = None) -> DataFrame:
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY, most: int = MOST, tile: int = TILE, set_tile: int = SET_TILE, row: str | None = None) -> DataFrame:
     """``row, key, component, first``: per row the component's smallest key, and whether this row stays for it.
 
-    Rows have the distinct numbers of the column ``row``, or are numbered as ``monotonically_increasing_id`` does. Links: shingle sets with an estimated
-    similarity of ``similarity`` or more. The row with the smallest key stays (null is the smallest; of equal keys,
-    the smallest row). Texts without words are equal to each other.
+    Rows have the distinct numbers of the column ``row``, or get some. Links: sets of word shingles with a similarity of
+    ``similarity`` or more, among those whose fingerprints differ in ``most`` places or fewer. The row with
+    the smallest key stays (null is the smallest; of equal keys, the smallest row). Texts without words are
+    equal to each other.
     """
-    most = PLACES - int(np.ceil(similarity * PLACES))
-    sigs = cut(signatures(docs, key, text, size, row))
-    nodes = cut(sigs.groupBy("sig").agg(F.min(F.struct("key", "row")).alias("least")).select("sig", F.col("least.row").alias("node"), "least"))
-    joined = components(signature_edges(nodes.select("node", "sig"), most, tile)).select(F.col("u").alias("node2"), F.col("component").alias("root"))
-    rooted = nodes.join(joined, F.col("node") == F.col("node2"), "left").select("sig", "least", F.coalesce("root", "node").alias("root"))
+    read = docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = written(read, "similar-rows") if row is None else read
+    sigs = cut(signatures(rows, size))
+    nodes = cut(sigs.groupBy("sig", "whole").agg(F.min(F.struct("key", "row")).alias("least")).select("sig", "whole", F.col("least.row").alias("node"), "least"))
+    clusters = block_clusters(nodes.select("node", "sig"), most, tile, similarity)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b["node"], b["key"], b["sig"], pa.array([shingle_set(t.as_py(), size).tobytes() for t in b["text"]], pa.binary())], names=["node", "key", "sig", "shingles"])
+
+    inside, _ = split(rows.select("row", "text"), "row", filter_of(clusters, "node2"))
+    told = inside.join(clusters, F.col("row") == F.col("node2")).join(nodes.select("node", "sig"), F.col("row") == F.col("node"))
+    sets = told.select("node", F.col("root").alias("key"), "sig", "text").mapInArrow(encode, "node long, key long, sig binary, shingles binary")
+    counts = clusters.groupBy(F.col("root").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    joined = components(group_edges(sets, counts, most, set_tile, similarity)).select(F.col("u").alias("node2"), F.col("component").alias("root"))
+    rooted = nodes.join(joined, F.col("node") == F.col("node2"), "left").select("sig", "whole", "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("stays")).withColumnRenamed("root", "root2")
-    labelled = cut(rooted.join(smallest, F.col("root") == F.col("root2")).select(F.col("sig").alias("sig2"), "stays"))
-    met = sigs.join(labelled, F.col("sig") == F.col("sig2"))
+    labelled = cut(rooted.join(smallest, F.col("root") == F.col("root2")).select(F.col("sig").alias("sig2"), F.col("whole").alias("whole2"), "stays"))
+    met = sigs.join(labelled, (F.col("sig") == F.col("sig2")) & (F.col("whole") == F.col("whole2")))
     return met.select("row", F.col("key").alias(key), F.col("stays.key").alias("component"), (F.col("row") == F.col("stays.row")).alias("first"))

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
-import numpy as np
-
 import corpus_pipeline as P
 from skein.llm import quality as Q
 from skein.llm.mixing import PRODUCTION
-from skein.llm.simhash import signature
 from tests.conftest import TESTDATA
 from tests.llm.test_decontam import brute as brute_leaks
 from tests.llm.test_quality_secrets import metrics
@@ -56,9 +53,12 @@ def quality_kept(rows):
 
 
 def similar_kept(rows):
-    """ids of the smallest documents of each group of signatures with 25 differing bytes or fewer."""
+    """ids of the smallest documents of each group linked by a Jaccard similarity of 0.8 or more."""
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    sigs = np.array([np.frombuffer(signature(r["text"]), np.uint8) for r in rows])
+    sets = []
+    for r in rows:
+        w = r["text"].lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
     parent = list(range(len(rows)))
 
     def root(x):
@@ -67,9 +67,10 @@ def similar_kept(rows):
         return x
 
     for i in range(len(rows)):
-        for j in np.nonzero((sigs[:i] != sigs[i]).sum(axis=1) <= 25)[0].tolist():
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
     return {rows[i]["doc_id"] for i in range(len(rows)) if root(i) == i}
 
 
