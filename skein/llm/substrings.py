@@ -18,7 +18,8 @@ anchors at equal offsets. Consecutive strings with one anchor form a run of up t
    by byte by multikey quicksort, and equal strings next to each other are compared. Leading bytes that
    lie across a boundary, or have more than ``LIMIT`` contexts, are compared across cells instead:
    their strings are dealt by all of their bytes, settled before and after.
-4. Spans meet their documents, which are cut.
+4. Spans meet their documents, which are cut. A filter of fixed size holds documents without spans back from the
+   shuffle, here and where bytes are fetched.
 
 A cell's runs come from about ``CELL_BYTES`` of text; beyond ``MANY_CELLS`` cells they grow with the square root of
 the corpus, so that neither the cells in memory nor the pieces a task sends get out of hand. Contexts are 64-bit
@@ -41,13 +42,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.bitmaps import filter_of, split
 from skein.llm.common import sampled, shuffle_partitions, written
 
 LENGTH = 50
-LIMIT = 50_000
+LIMIT = 8_000
 #: bytes hashed at once, bytes gathered before runs are sorted and sent, longest piece of a text
 CHUNK, GATHER, PIECE = 1 << 21, 1 << 24, 1 << 24
 CELL_BYTES, MANY_CELLS = 1 << 22, 8192
+#: runs whose strings are laid out at once
+STRINGS = 4_000
 SAMPLE_DOCS = 2_000
 _RANDOM = np.random.default_rng(20240101)
 _TABLE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -480,7 +484,7 @@ def compare_open(runs: DataFrame, length: int, cells: int) -> DataFrame:
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= 20_000:
+            if rows >= STRINGS:
                 t = pa.Table.from_batches(held).combine_chunks()
                 lead, then = t["lead"].to_numpy(), t["then"].to_numpy()
                 other = np.nonzero((lead != lead[-1]) | (then != then[-1]))[0]
@@ -515,7 +519,7 @@ def compare_wide(runs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= 20_000:
+            if rows >= STRINGS:
                 yield from deal(pa.Table.from_batches(held))
                 held, rows = [], 0
         if rows:
@@ -563,7 +567,8 @@ def compare_wide(runs: DataFrame, length: int) -> DataFrame:
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of runs: ``_OUT`` and ``bytes``; lists are by text, so bounded by it."""
     lists = wanted.groupBy("key", "crc").agg(F.collect_list(F.struct("kind", "start", "count", "cell", "lead", "then")).alias("runs")).withColumnsRenamed({"key": "k2", "crc": "c2"})
-    met = docs.filter("key is not null").withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(lists, (F.col("key") == F.col("k2")) & (F.col("crc") == F.col("c2")))
+    asked, _ = split(docs.filter("key is not null"), "key", filter_of(wanted, "key"))
+    met = asked.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(lists, (F.col("key") == F.col("k2")) & (F.col("crc") == F.col("c2")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -607,7 +612,10 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     far = compare_wide(bytes_.filter(f"kind = {WIDE}"), length)
     spans = found.filter(f"kind = {COVERED}").unionByName(near).unionByName(far)
     lists = spans.groupBy(F.col("key").alias("k2"), F.col("crc").alias("c2")).agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    met = rows.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(lists, (F.col("key") == F.col("k2")) & (F.col("crc") == F.col("c2")), "left")
+    lists = written(lists, "substrings-spans")
+    touched, clean = split(rows, "key", filter_of(lists, "k2"))
+    cut_ = touched.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(lists, (F.col("key") == F.col("k2")) & (F.col("crc") == F.col("c2")), "left")
+    met = cut_.select("key", "text", "spans").unionByName(clean.select("key", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

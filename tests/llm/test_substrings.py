@@ -39,7 +39,7 @@ def test_equals_brute_force(spark):
     assert got == brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
-@pytest.mark.parametrize(("limit", "cell"), [(50_000, S.CELL_BYTES), (3, S.CELL_BYTES), (50_000, 200)])
+@pytest.mark.parametrize(("limit", "cell"), [(S.LIMIT, S.CELL_BYTES), (3, S.CELL_BYTES), (S.LIMIT, 200)])
 def test_shared_lines_in_changing_surroundings(spark, limit, cell, monkeypatch):
     monkeypatch.setattr(S, "CELL_BYTES", cell)
     rnd = random.Random(limit)
