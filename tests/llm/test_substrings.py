@@ -105,7 +105,7 @@ def test_runs_are_sorted_by_their_bytes_and_cells_are_ranges():
 
 
 def test_cells_and_samples_of_any_corpus():
-    assert S.n_cells(0, 8) == 8 and S.n_cells(1 << 33, 8) == 2048
+    assert S.n_cells(0, 8) == 8 and S.n_cells(1 << 33, 8) == 1024
     assert S.n_cells(100 << 40, 8) < 10**6 and (100 << 40) / S.n_cells(100 << 40, 8) < 1 << 28
     for rows in (10**9, 10**11, 10**13):
         assert 0.99 < int(S.SAMPLE_DOCS / rows * (1 << 64)) / 2**64 * rows / S.SAMPLE_DOCS <= 1.01
