@@ -49,7 +49,7 @@ LENGTH = 50
 LIMIT = 8_000
 #: bytes hashed at once, bytes gathered before runs are sorted and sent, longest piece of a text
 CHUNK, GATHER, PIECE = 1 << 21, 1 << 23, 1 << 24
-CELL_BYTES, MANY_CELLS = 1 << 23, 8192
+CELL_BYTES, MANY_CELLS = 1 << 23, 16_384
 #: runs whose strings are laid out at once
 STRINGS = 4_000
 SAMPLE_DOCS = 2_000
