@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, a number of its own for every row, written so that it stays."""
-    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "pipeline-rows")
+    """``docs`` with ``__row``, a number of its own for every row that stays the same whenever it is read.
+
+    Rows of files have their file's number and their place in it, so nothing is written. Other tables are written
+    with their numbers. The list of files, which the driver of Spark holds anyway, is what is broadcast.
+    """
+    plain = docs.select(*COLUMNS)
+    try:
+        placed = plain.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")) if docs.inputFiles() else None
+    except AnalysisException:  # made from files by more than reading them
+        placed = None
+    if placed is None:
+        return written(plain.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    known = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "__name string, __base long")
+    return placed.join(F.broadcast(known), F.col("__file") == F.col("__name")).select(*COLUMNS, (F.col("__base") + F.col("__at")).alias("__row"))
 
 
 def drop(rows: DataFrame, gone: DataFrame) -> DataFrame:
