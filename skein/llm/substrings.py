@@ -12,15 +12,18 @@ anchors at equal offsets. Consecutive strings with one anchor form a run of up t
    third of all rows share leaves a task once.
 2. Splitters sampled from the suffixes range-partition runs by (leading bytes, context) into cells. A task takes
    one cell after another and sorts it by multikey quicksort, with characters of 8 bytes. Equal runs: all but those
-   of the smallest key are covered. Runs that share leading bytes but not the context may share some of their
-   strings: those of the smallest key go on.
+   of the smallest key are covered. Runs that share leading bytes but not the context can share a string only if
+   the half before or the half after the gram agrees too; a run carries 16 bits of a hash of each (its sides), and
+   those with a side that another key has go on.
 3. Their bytes are fetched; in the same ranges, the suffixes of runs with the same leading bytes are sorted byte
    by byte by multikey quicksort, and equal strings next to each other are compared. Leading bytes that
-   lie across a boundary, or have more than ``LIMIT`` contexts, are compared across cells instead:
-   their strings are dealt by all of their bytes, settled before and after.
+   lie across a boundary, or have more than ``LIMIT`` contexts, are compared across cells instead: their sides
+   meet first, and the strings of runs that share one are dealt by all of their bytes, settled before and after.
 4. Spans meet their documents, which are cut. A filter of fixed size holds documents without spans back from the
    shuffle, here and where bytes are fetched.
 
+The files of a step's shuffles go when the step is written, runs and bytes when the spans are.
+
 A cell's runs come from about ``CELL_BYTES`` of text; beyond ``MANY_CELLS`` cells they grow with the square root of
 the corpus, so that neither the cells in memory nor the pieces a task sends get out of hand. Contexts are 64-bit
 hashes within equal 16 leading bytes; strings that differ only in part are compared by their bytes. Rows with a null
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bitmaps import filter_of, split
-from skein.llm.common import sampled, shuffle_partitions, written
+from skein.llm.common import removed, sampled, shuffle_partitions, step, step_folder
 
 LENGTH = 50
 LIMIT = 8_000
@@ -92,16 +95,17 @@ def _window_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]
 
 
 def _runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs in joined texts: (leading bytes, the next 8, context, first string, number of strings).
+    """Runs in joined texts: (leading bytes, the next 8, context, first string, number of strings, sides).
 
     ``ends`` gives for each byte the end of its text; strings that cross an end don't count.
     """
     size = gram_size(length)
     wide = length - size + 1
-    none = (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(2)))
+    half = (length - size + 1) // 2
+    none = (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(2)), np.empty(0, np.uint32))
     if len(data) < length:
         return none
-    grams, whole = _window_hashes(data, (size, length))
+    grams, whole, halves = _window_hashes(data, (size, length, max(1, half)))
     mixed = _mix(grams)
     least = (mixed & ~_LOW) | np.arange(len(mixed), dtype=np.uint64)
     n = 1
@@ -122,11 +126,18 @@ def _runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     lead = np.zeros((len(a), 16), np.uint8)
     lead[:, :size] = np.lib.stride_tricks.sliding_window_view(data, size)[a]
     chars = lead.view(">u8").astype(np.uint64)
-    return chars[:, 0].copy(), chars[:, 1].copy(), context, s0, s1 - s0 + 1
+    # a string has ``half`` bytes or more before its gram or after it; where no string of the run has, the side is 0
+    before, after = (np.where(ok, _side(halves[np.where(ok, at, 0)]), 0) for ok, at in ((a - s0 >= half, a - half), (s1 + length - a - size >= half, a + size if half else a)))
+    return chars[:, 0].copy(), chars[:, 1].copy(), context, s0, s1 - s0 + 1, (before << 16 | after).astype(np.uint32)
+
+
+def _side(hashes: np.ndarray) -> np.ndarray:
+    """16 bits, never 0."""
+    return np.maximum(_mix(hashes) >> np.uint64(48), np.uint64(1)).astype(np.int64)
 
 
 class _Gatherer:
-    """Collects the runs of many texts: arrays lead, next, context, key, crc, start, count."""
+    """Collects the runs of many texts: arrays lead, next, context, key, crc, start, count, sides."""
 
     def __init__(self, length: int):
         self.length = length
@@ -172,16 +183,16 @@ class _Gatherer:
         data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
         lens = np.array([len(p[3]) for p in pieces])
         stops = np.cumsum(lens)
-        lead, then, context, start, count = _runs_of(data, np.repeat(stops, lens), self.length)
+        lead, then, context, start, count, sides = _runs_of(data, np.repeat(stops, lens), self.length)
         which = np.searchsorted(stops, start, "right")
         keys, crcs, offsets = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
-        self.parts.append((lead, then, context, keys[which], crcs[which], start - (stops - lens)[which] + offsets[which], count.astype(np.int64)))
+        self.parts.append((lead, then, context, keys[which], crcs[which], start - (stops - lens)[which] + offsets[which], count.astype(np.int64), sides))
 
     def take(self) -> tuple[np.ndarray, ...]:
         self.hash()
         parts, self.parts, self.bytes = self.parts, [], 0
         if not parts:
-            return (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(4)))
+            return (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.uint32))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
@@ -196,12 +207,12 @@ def _unplanes(b: bytes, n: int, kind: type) -> np.ndarray:
 
 def pack(runs: tuple[np.ndarray, ...]) -> bytes:
     """Sorted runs as one compressed value; keys and checksums once per text."""
-    lead, then, context, key, crc, start, count = runs
+    lead, then, context, key, crc, start, count, sides = runs
     n = len(lead)
     texts, which = np.unique(np.stack([key, crc], axis=1), axis=0, return_inverse=True) if n else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
     body = b"".join([
         struct.pack("<qq", n, len(texts)), _planes(np.diff(lead, prepend=np.uint64(0))), _planes(then), _planes(context), _planes(which.reshape(-1).astype(np.uint32)), _planes(start.astype(np.int64)), count.astype(np.uint8).tobytes(),
-        _planes(np.diff(texts[:, 0], prepend=0)), _planes(texts[:, 1].astype(np.uint32)),
+        _planes(np.diff(texts[:, 0], prepend=0)), _planes(texts[:, 1].astype(np.uint32)), _planes(sides),
     ])
     return zstandard.ZstdCompressor(level=1).compress(body)
 
@@ -223,7 +234,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     at += n
     key = np.cumsum(read(8, m, np.int64), dtype=np.int64)
     crc = read(4, m, np.uint32).astype(np.int64)
-    return lead, then, context, key[which], crc[which], start, count
+    return lead, then, context, key[which], crc[which], start, count, read(4, n, np.uint32)
 
 
 def _pick(runs: tuple[np.ndarray, ...], where: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -333,11 +344,35 @@ def _rows(kind: int, key: np.ndarray, crc: np.ndarray, start: np.ndarray, count:
     return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(crc), pa.array(start), pa.array(count.astype(np.int32)), pa.array(np.full(len(key), cell, np.int32)), *map(pa.array, given)], names=_NAMES)
 
 
+def _sided(rows: pa.RecordBatch, sides: np.ndarray | None = None) -> pa.RecordBatch:
+    """``_rows`` and ``sides``, which only runs that meet across cells need."""
+    return rows.append_column("sides", pa.array(np.zeros(rows.num_rows, np.int64) if sides is None else sides.astype(np.int64)))
+
+
+def sharing(runs: tuple[np.ndarray, ...], group: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Which of the runs ``free`` have a side in common with one of another key in their ``group``."""
+    key, sides = runs[3], runs[7].astype(np.int64)
+    out = np.zeros(len(key), bool)
+    for side in (sides >> 16, sides & 0xFFFF):
+        own = np.nonzero(free & (side > 0))[0]
+        if not len(own):
+            continue
+        code = group[own] << 16 | side[own]
+        order = np.argsort(code, kind="stable")
+        own, code = own[order], code[order]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = code[1:] != code[:-1]
+        at = np.nonzero(fresh)[0]
+        several = np.minimum.reduceat(key[own], at) < np.maximum.reduceat(key[own], at)
+        out[own[several[np.cumsum(fresh) - 1]]] = True
+    return out
+
+
 COVERED, OPEN, WIDE = 0, 1, 2  # settled spans; runs to compare in a cell; runs to compare across cells
 
 
 def find_runs(docs: DataFrame, length: int, limit: int, cells: int, rows: int) -> DataFrame:
-    """Steps 1 and 2 over ``key, text``: rows of ``_OUT``."""
+    """Steps 1 and 2 over ``key, text``: rows of ``_OUT`` and ``sides``."""
     n = shuffle_partitions(docs.sparkSession)
     cuts = splitters(docs, rows, cells, length)
 
@@ -375,7 +410,7 @@ def find_runs(docs: DataFrame, length: int, limit: int, cells: int, rows: int) -
             for cell, blob in zip(b["cell"].to_pylist(), b["blob"], strict=True):
                 if cell < 0:  # spans that a task settled by itself
                     runs = unpack(blob.as_py())
-                    yield _rows(COVERED, *runs[3:])
+                    yield _sided(_rows(COVERED, *runs[3:7]))
                     continue
                 if cell != now:
                     yield from settle(now, parts)
@@ -389,27 +424,36 @@ def find_runs(docs: DataFrame, length: int, limit: int, cells: int, rows: int) -
         runs = tuple(np.concatenate(c) for c in zip(*map(unpack, parts), strict=True))
         runs = _pick(runs, _order(runs))
         covered, fresh = settle_equal(runs)
-        lead, then, _, key = runs[:4]
+        lead, then = runs[:2]
         first = np.ones(len(lead), bool)
         first[1:] = (lead[1:] != lead[:-1]) | (then[1:] != then[:-1])
         at = np.nonzero(first)[0]
         which = np.cumsum(first) - 1
-        contexts = np.add.reduceat(fresh.astype(np.int64), at)
-        several = (contexts > 1) & (np.minimum.reduceat(key, at) < np.maximum.reduceat(key, at))
+        shared = sharing(runs, which, ~covered & (np.diff(np.append(at, len(lead))) > 1)[which])
+        contexts = np.add.reduceat((fresh & shared).astype(np.int64), at)
         wide = np.zeros(len(at), bool)
         if across:
             near = np.nonzero(np.isin(lead[at], np.fromiter((a for a, _ in across), np.uint64, len(across))))[0]
             wide[near] = [(int(lead[at[i]]), int(then[at[i]])) in across for i in near]
-        kind = np.where(wide | (several & (contexts > limit)), WIDE, np.where(several, OPEN, -1))[which]
+        kind = np.where(wide[which] | (shared & (contexts > limit)[which]), WIDE, np.where(shared, OPEN, -1))
         kind[covered] = COVERED
         for k in (COVERED, OPEN, WIDE):
             some = np.nonzero(kind == k)[0]
             for i in range(0, len(some), 100_000):
                 got = _pick(runs, some[i : i + 100_000])
-                yield _rows(k, *got[3:], cell, got[0], got[1])
+                yield _sided(_rows(k, *got[3:7], cell, got[0], got[1]), got[7] if k == WIDE else None)
 
     sent = docs.mapInArrow(send, "bucket int, cell int, blob binary")
-    return sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("cell").mapInArrow(meet, _OUT)
+    return sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("cell").mapInArrow(meet, f"{_OUT}, sides long")
+
+
+def meeting(runs: DataFrame) -> DataFrame:
+    """Of the WIDE rows of ``find_runs``, those with a side that a run of another key shares, wherever it is; rows of ``_OUT``."""
+    own = F.explode(F.array(F.struct(F.lit(0).alias("n"), F.shiftright("sides", 16).alias("value")), F.struct(F.lit(1).alias("n"), F.col("sides").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("value"))))
+    each = runs.withColumn("side", own).filter("side.value <> 0").withColumn("part", F.xxhash64("lead", "then", "side"))
+    parts = each.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("part")
+    asked, _ = split(each, "part", filter_of(parts, "part"))
+    return asked.join(parts, "part", "left_semi").select(*_NAMES).distinct()
 
 
 def multikey_order(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -606,13 +650,17 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     keyed = rows.filter("key is not null")
     n, total = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     cells = n_cells(total, shuffle_partitions(docs.sparkSession))
-    found = written(find_runs(keyed, length, limit, cells, n), "substrings-runs")
-    bytes_ = written(fetch(rows, found.filter(f"kind <> {COVERED}"), length), "substrings-bytes")
+    spark = docs.sparkSession
+    kept_runs, kept_bytes = step_folder(spark, "substrings-runs"), step_folder(spark, "substrings-bytes")
+    found = step(find_runs(keyed, length, limit, cells, n), kept_runs)
+    wanted = found.filter(f"kind = {OPEN}").select(*_NAMES).unionByName(meeting(found.filter(f"kind = {WIDE}")))
+    bytes_ = step(fetch(rows, wanted, length), kept_bytes)
     near = compare_open(bytes_.filter(f"kind = {OPEN}"), length, cells)
     far = compare_wide(bytes_.filter(f"kind = {WIDE}"), length)
-    spans = found.filter(f"kind = {COVERED}").unionByName(near).unionByName(far)
+    spans = found.filter(f"kind = {COVERED}").select(*_NAMES).unionByName(near).unionByName(far)
     lists = spans.groupBy(F.col("key").alias("k2"), F.col("crc").alias("c2")).agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    lists = written(lists, "substrings-spans")
+    lists = step(lists, step_folder(spark, "substrings-spans"))
+    removed(spark, kept_runs, kept_bytes)
     touched, clean = split(rows, "key", filter_of(lists, "k2"))
     cut_ = touched.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(lists, (F.col("key") == F.col("k2")) & (F.col("crc") == F.col("c2")), "left")
     met = cut_.select("key", "text", "spans").unionByName(clean.select("key", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")))

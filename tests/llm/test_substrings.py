@@ -109,3 +109,36 @@ def test_cells_and_samples_of_any_corpus():
     assert S.n_cells(100 << 40, 8) < 10**6 and (100 << 40) / S.n_cells(100 << 40, 8) < 1 << 28
     for rows in (10**9, 10**11, 10**13):
         assert 0.99 < int(S.SAMPLE_DOCS / rows * (1 << 64)) / 2**64 * rows / S.SAMPLE_DOCS <= 1.01
+
+
+def test_runs_that_share_just_a_gram_dont_go_on(spark):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    gram, shared = "0123456789ABCDEF", text(60)
+    apart = [(k, text(40) + gram + text(40)) for k in range(80)]
+    for rows, some in ((apart, False), ([*apart, (90, text(30) + shared + text(30)), (91, text(33) + shared + text(20))], True)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = S.find_runs(docs.toDF("key", "text"), 50, S.LIMIT, 8, len(rows)).cache()
+        going = found.filter(f"kind = {S.OPEN}").select("key").union(S.meeting(found.filter(f"kind = {S.WIDE}")).select("key"))
+        assert {r.key for r in going.collect()} == ({90, 91} if some else set())
+        assert Counter(map(tuple, S.dedup_substrings(docs).collect())) == brute(rows)
+
+
+def test_steps_leave_no_shuffles_and_only_spans(spark):
+    import glob
+    import time
+
+    from skein.llm.common import shared_folder, step, step_folder
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    before = files()
+    rows = step(spark.range(9999).repartition(7, "id"), step_folder(spark, "substrings-test"))
+    began = time.time()
+    while files() > before and time.time() - began < 20:
+        time.sleep(0.2)
+    assert files() <= before and rows.count() == 9999
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    old = set(glob.glob(f"{folder}/substrings-*"))
+    got = S.dedup_substrings(spark.createDataFrame([(1, "ab" * 90), (2, "cd" + "ab" * 80)], "doc_id long, text string"))
+    assert {p.split("/")[-1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/substrings-*")) - old} == {"substrings-spans"}
+    assert got.count() == 2
