@@ -134,3 +134,23 @@ def test_toxicity_odd_rows(spark):
     assert T.toxicity(docs.limit(0), labels.limit(0))[0].collect() == []
     assert {(r.lang, r.flagged) for r in got} >= {("en", True), ("en", False)} and all(r.flagged is not None for r in got)
     assert T.flag_by_language(docs.selectExpr("lang", "0.9D as score"), model).filter("flagged").count() == len(rows)
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """More labels than the 4,000 and 8,000 rows that were once drawn: all are counted, and several shards agree with one."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices([f"w{j}" for j in range(300)], k=12)) + (" idiot" if i % 4 == 0 else ""), "en", int(i % 4 == 0)) for i in range(16_000)]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string, label int")
+    counts = T.word_counts(T.labelled(docs.select("key", "text", "lang"), docs.select("key", "label")))
+    training = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 > 1]
+    word = T.token_ids("idiot")[0]
+    assert len(training) > 9_000 and counts[0, 1, word[0]] >= sum(r[3] for r in training) > 2_000
+    assert counts.sum() == sum(len(set(T.token_ids(r[1])[:, t].tolist())) for r in training for t in range(2))
+    seen = []
+    monkeypatch.setattr(T, "EPOCHS", 2)
+    for shard in (20_000, 2_000):
+        model = T.train(docs.select("key", "text", "lang"), docs.select("key", "label").repartition(3), shard=shard)
+        again = T.train(docs.select("key", "text", "lang").repartition(5), docs.select("key", "label"), shard=shard)
+        assert (model.tables == again.tables).all() and (model.shift, model.cuts) == (again.shift, again.cuts)
+        seen.append([model.score(r[1]) >= 0.5 for r in rows[:500]])
+    assert seen[0] == seen[1] == [r[3] == 1 for r in rows[:500]]
