@@ -50,8 +50,10 @@ from skein.llm.common import removed, sampled, shuffle_partitions, step, step_fo
 
 LENGTH = 50
 LIMIT = 8_000
-#: bytes hashed at once, bytes gathered before runs are sorted and sent, longest piece of a text
-CHUNK, GATHER, PIECE = 1 << 21, 1 << 23, 1 << 24
+#: bytes hashed at once (which takes about 90 times as much), bytes gathered before runs are sorted and sent, longest piece of a text
+CHUNK, GATHER, PIECE = 1 << 18, 1 << 23, 1 << 18
+#: bytes that a task hands over at once
+SENT = 1 << 20
 CELL_BYTES, MANY_CELLS = 1 << 23, 16_384
 #: runs whose strings are laid out at once
 STRINGS = 4_000
@@ -165,7 +167,7 @@ class _Gatherer:
         todo: list[tuple[int, int, int, bytes]] = []
         size = 0
         for piece in self.pending:
-            if todo and size + len(piece[3]) > (1 << 24) - 1:
+            if todo and size + len(piece[3]) > CHUNK + self.length - 1:
                 self._hash(todo)
                 todo, size = [], 0
             todo.append(piece)
@@ -174,12 +176,6 @@ class _Gatherer:
         self.pending, self.pending_bytes = [], 0
 
     def _hash(self, pieces: list[tuple[int, int, int, bytes]]) -> None:
-        if sum(len(p[3]) for p in pieces) >= 1 << 24:  # one long piece with its overlap
-            key, crc, at, data = pieces[0]
-            half = len(data) // 2
-            self._hash([(key, crc, at, data[: half + self.length - 1])])
-            self._hash([(key, crc, at + half, data[half:])])
-            return
         data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
         lens = np.array([len(p[3]) for p in pieces])
         stops = np.cumsum(lens)
@@ -193,7 +189,9 @@ class _Gatherer:
         parts, self.parts, self.bytes = self.parts, [], 0
         if not parts:
             return (*(np.empty(0, np.uint64) for _ in range(3)), *(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.uint32))
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = list(zip(*parts, strict=True))[::-1]
+        del parts
+        return tuple(np.concatenate(columns.pop()) for _ in range(len(columns)))  # each column's parts go as it is joined
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -382,24 +380,36 @@ def find_runs(docs: DataFrame, length: int, limit: int, cells: int, rows: int) -
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 held.add(k, t.as_py())
                 if held.bytes >= GATHER:
-                    yield from deal(held.take())
-        yield from deal(held.take())
+                    yield from batched(deal(held.take()))
+        yield from batched(deal(held.take()))
 
-    def deal(runs: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    def deal(runs: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int, bytes]]:
         runs = _pick(runs, _order(runs))
         covered, _ = settle_equal(runs)
-        rest = _pick(runs, ~covered)
-        starts = cell_starts(rest, cuts)
-        out: list[tuple[int, int, bytes]] = []
-        for i in np.nonzero(np.diff(starts))[0].tolist():
-            out.append((i * n // cells, i, pack(tuple(c[starts[i] : starts[i + 1]] for c in rest))))
         done = np.nonzero(covered)[0]
         for at in range(0, len(done), 100_000):
             part = done[at : at + 100_000]
-            out.append((int(runs[3][part[0]]) % n, -1, pack(_pick(runs, part))))
-        for at in range(0, len(out), 64):
-            ids, numbers, blobs = zip(*out[at : at + 64], strict=True)
-            yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "cell", "blob"])
+            yield int(runs[3][part[0]]) % n, -1, pack(_pick(runs, part))
+        runs = _pick(runs, ~covered)
+        starts = cell_starts(runs, cuts)
+        for i in np.nonzero(np.diff(starts))[0].tolist():
+            yield i * n // cells, i, pack(tuple(c[starts[i] : starts[i + 1]] for c in runs))
+
+    def batched(pieces: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, bytes]] = []
+        size = 0
+        for piece in pieces:
+            out.append(piece)
+            size += len(piece[2])
+            if size >= SENT or len(out) >= 64:
+                yield batch(out)
+                out, size = [], 0
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        ids, numbers, blobs = zip(*out, strict=True)
+        return pa.record_batch([pa.array(ids, pa.int32()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "cell", "blob"])
 
     across = {(int(a), int(b)) for a, b, c in cuts if c}
 
@@ -675,9 +685,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                     begin, end = cover(np.stack([got.field("start").to_numpy(), got.field("count").to_numpy().astype(np.int64)], axis=1), len(data), length)
                     edges = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(data)]
                     left = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                    out.append((len(data), len(data) - len(left), len(begin), hashlib.sha256(left).hexdigest(), left))
+                    out.append((len(data), len(data) - len(left), len(begin), hashlib.sha256(left).hexdigest(), left if with_kept else None))
                 else:
-                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
+                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data if with_kept else None))
             columns = list(zip(*out, strict=True)) or [()] * 5
             arrays = [b["key"], *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())]
             yield pa.record_batch([*arrays, *([pa.array(columns[4], pa.binary())] if with_kept else [])], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])])

@@ -142,3 +142,35 @@ def test_steps_leave_no_shuffles_and_only_spans(spark):
     got = S.dedup_substrings(spark.createDataFrame([(1, "ab" * 90), (2, "cd" + "ab" * 80)], "doc_id long, text string"))
     assert {p.split("/")[-1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/substrings-*")) - old} == {"substrings-spans"}
     assert got.count() == 2
+
+
+def test_memory_of_hashing_does_not_grow_with_texts():
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    text = lambda n: rnd.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    for texts in ([text(3000) for _ in range(700)], [text(2_100_000)]):
+        held = S._Gatherer(50)
+        tracemalloc.start()
+        for k, t in enumerate(texts):
+            held.add(k, t)
+        runs = held.take()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
+        assert runs[6].sum() == sum(len(t) - 49 for t in texts)  # each string once
+
+
+def test_steps_hand_texts_over_by_bytes(spark):
+    import pyarrow as pa
+
+    from skein.llm.common import step, step_folder
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 300, 1, 1).selectExpr("id", "repeat(cast(id as string), 50000) as text")
+    got = step(texts.mapInArrow(sizes, "n long, size long"), step_folder(spark, "substrings-test")).collect()
+    assert sum(r.n for r in got) == 300 and max(r.size for r in got) < 5 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
