@@ -34,6 +34,20 @@ def with_position(df: DataFrame, by: list[Column], name: str = "pos", partitions
     return held.join(F.broadcast(starts), "__pid").select(*df.columns, (F.col("__start") + place).alias(name), *([F.col("__all").alias(total)] if total else []))
 
 
+def with_block_position(df: DataFrame, place: str = "__ord", name: str = "pos") -> DataFrame:
+    """``with_position`` of rows that carry their place as ``files.ordered_lines`` makes it, without a shuffle or sort of the rows.
+
+    Blocks are counted; a row's position is the rows of the blocks before it plus its place in its own.
+    All rows of every block must be there. They are persisted, since both passes must see the same blocks.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    path, at, row = (F.col(f"{place}.{c}") for c in ("path", "at", "row"))
+    counts = held.groupBy(path.alias("__path"), at.alias("__at")).agg(F.count(F.lit(1)).alias("__n"), F.min(row).alias("__low"))
+    before = Window.orderBy("__path", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__path", "__at", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__start"))  # a row per block
+    return held.join(F.broadcast(starts), (path == F.col("__path")) & (at == F.col("__at"))).select(*df.columns, (F.col("__start") + row).alias(name))
+
+
 def take(df: DataFrame, n: int, by: list[Column] = ()) -> DataFrame:
     """The first ``n`` rows in the order of ``by`` (any ``n`` without it)."""
     if n < 0:

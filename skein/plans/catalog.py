@@ -111,23 +111,22 @@ def src_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.lines_of(texts).withColumnRenamed("path", "doc_id")
 
 
-def _saved(ctx: Context, df: DataFrame, column: str) -> str:
+def _saved(ctx: Context, df: DataFrame, column: str, **options) -> str:
     """Rows of ``column`` as text files in a fresh shared folder: exact parts where it is mounted, Spark's otherwise."""
     out, rows = shared_folder(ctx.spark), ctx.empty("value string").transform(lambda _: df.select(F.col(column).cast("string").alias("value")))
     if files.local_path(out) is None:
         rows.save_as_text(out)
     else:
-        rows.save_as_text_parts(out)
+        rows.save_as_text_parts(out, **options)
     return out
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, CAST(o_orderkey AS VARCHAR) AS value FROM orders")
 def src_text_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys in order as a text file, read back in order of its lines."""
+    """Keys in order as text, a part per task, read back in order of parts and lines."""
     ctx = Context(spark)
-    out = _saved(ctx, table(spark, sf_dir, "orders").orderBy("o_orderkey").coalesce(1), "o_orderkey")
-    lines = ctx.text_file(out)
-    return ordering.with_position(lines.df, [F.col("__ord").asc()], "pos").select("pos", "value")
+    out = _saved(ctx, table(spark, sf_dir, "orders").orderBy("o_orderkey"), "o_orderkey", in_order=True)
+    return ordering.with_block_position(ctx.text_file(out).df).select("pos", "value")
 
 
 @query("SELECT r_name AS value, CAST(1 AS BIGINT) AS n FROM region")

@@ -10,6 +10,7 @@ Paths are given as ``file:///x`` by both.
 from __future__ import annotations
 
 import base64
+import codecs
 import os
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -18,7 +19,7 @@ from uuid import uuid4
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, content binary"
@@ -91,6 +92,21 @@ class _BlockPart(InputPartition):
 
 #: bytes of a file that one task reads as lines
 LINE_BLOCK = 1 << 26
+#: bytes that are split into lines at once, and lines that leave a task at once
+LINE_BYTES, LINE_ROWS = 1 << 22, 1 << 16
+
+
+def _split(data: bytes):
+    """Lines as an Arrow array of bytes; the last one may lack its newline."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    if data and not data.endswith(b"\n"):
+        ends = np.append(ends, len(data))
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = ends - np.arange(len(ends))
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data.replace(b"\n", b""))])
 
 
 class _LinesReader(DataSourceReader):
@@ -105,75 +121,97 @@ class _LinesReader(DataSourceReader):
         return parts or [_BlockPart("", 0, 0)]
 
     def read(self, part: InputPartition) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         if not part.path:
             return
         with open(part.path, "rb") as f:
-            at = part.start
-            if at:  # a line belongs to the block in which it begins
-                f.seek(at - 1)
-                at += len(f.readline()) - 1
-            while at < part.end:
-                values, places, held = [], [], 0
-                while at < part.end and held < 1 << 22:
-                    line = f.readline()
-                    values.append(line.removesuffix(b"\n"))
-                    places.append(at)
-                    at += len(line)
-                    held += len(line)
-                yield pa.record_batch([pa.array(["file://" + part.path] * len(values)), pa.array(places, pa.int64()), pa.array(values, pa.binary())], names=["path", "at", "line"])
+            left, row = part.end - part.start, 0
+            if part.start:  # a line belongs to the block in which it begins
+                f.seek(part.start - 1)
+                left -= len(f.readline()) - 1
+            while left > 0 and (data := f.read(min(left, LINE_BYTES))):
+                data += b"" if data.endswith(b"\n") else f.readline()
+                left -= len(data)
+                lines = _split(data)
+                for k in range(0, len(lines), LINE_ROWS):
+                    some = lines.slice(k, LINE_ROWS)
+                    path, at, rows = pa.repeat(pa.scalar("file://" + part.path), len(some)), pa.repeat(pa.scalar(part.start), len(some)), pa.array(np.arange(row, row + len(some)))
+                    yield pa.record_batch([path, at, rows, some], names=["path", "at", "row", "line"])
+                    row += len(some)
 
 
 class LineBlocksSource(DataSource):
-    """Reads ``path, at, line``: every line's bytes and their place, large files by blocks."""
+    """Reads ``path, at, row, line``: every line's bytes, its block and its place there, large files by blocks."""
 
     @classmethod
     def name(cls) -> str:
         return "skein_line_blocks"
 
     def schema(self) -> str:
-        return "path string, at bigint, line binary"
+        return "path string, at bigint, row bigint, line binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _LinesReader(self.options)
 
 
 class _Part(WriterCommitMessage):
-    def __init__(self, name: str, attempt: str):
-        self.name, self.attempt = name, attempt
+    def __init__(self, partition: int, attempt: str):
+        self.partition, self.attempt = partition, attempt
 
 
-class _LinesWriter(DataSourceWriter):
+class _LinesWriter(DataSourceArrowWriter):
     """Tasks write into a staging folder of this write alone; the commit publishes just what they reported."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.encoding, self.extension = options["path"].rstrip("/"), options.get("encoding", "utf-8"), options.get("extension", "txt")
+        self.in_order = options.get("in_order", "false") == "true"
         pickled = options.get("compressor", "")
         self.compressor = cloudpickle.loads(base64.b64decode(pickled)) if pickled else None
         if not overwrite and os.path.exists(self.path):
             raise FileExistsError(self.path)
         self.staging = f"{self.path}.__staging-{uuid4().hex}"
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    @staticmethod
+    def _joined(batches: Iterator) -> Iterator[bytes]:
+        """The partition's text in UTF-8, batch by batch."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        between = b""
+        for b in batches:
+            if b.num_rows:
+                values = pc.fill_null(b.column(0).cast(pa.large_string()), "")
+                text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values), pa.scalar("\n", pa.large_string()))
+                yield between + text[0].as_buffer().to_pybytes()
+                between = b"\n"
+
+    def write(self, batches: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        data = "\n".join(row[0] if row[0] is not None else "" for row in rows).encode(self.encoding)
         os.makedirs(self.staging, exist_ok=True)
         attempt = os.path.join(self.staging, f".attempt-{context.partitionId()}-{context.taskAttemptId()}")
+        utf8 = codecs.lookup(self.encoding).name == "utf-8"
         with open(attempt, "wb") as f:
-            f.write(self.compressor(data) if self.compressor else data)
-        return _Part(f"part-{context.partitionId()}.{self.extension}", attempt)
+            if utf8 and not self.compressor:
+                f.writelines(self._joined(batches))
+            else:  # both need the whole partition
+                data = b"".join(self._joined(batches))
+                data = data if utf8 else data.decode().encode(self.encoding)
+                f.write(self.compressor(data) if self.compressor else data)
+        return _Part(context.partitionId(), attempt)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         import shutil
 
         ready, old = f"{self.staging}-ready", f"{self.staging}-old"
         os.makedirs(ready)
-        for m in messages:
-            if m is not None:
-                os.replace(m.attempt, os.path.join(ready, m.name))
+        parts = [m for m in messages if m is not None]
+        digits = len(str(max((m.partition for m in parts), default=0))) if self.in_order else 1
+        for m in parts:
+            os.replace(m.attempt, os.path.join(ready, f"part-{m.partition:0{digits}}.{self.extension}"))
         if os.path.exists(self.path):
             os.replace(self.path, old)
         os.replace(ready, self.path)
@@ -205,6 +243,7 @@ def all_files(spark: SparkSession, url: str, recursive: bool = False) -> DataFra
 def ordered_lines(spark: SparkSession, url: str, recursive: bool = False, encoding: str = "utf-8", block: int = LINE_BLOCK) -> DataFrame:
     """``value, place``: lines, and what they are ordered by; a large file is read by many tasks.
 
+    A place is the file's path, where its block begins, and a row number without gaps inside the block.
     Mounted folders: every file, split at newlines only. Other stores: Spark's text reader, which
     splits and decompresses by name; lines follow each other by file, block and row.
     """
@@ -212,7 +251,7 @@ def ordered_lines(spark: SparkSession, url: str, recursive: bool = False, encodi
     if path is not None:
         spark.dataSource.register(LineBlocksSource)
         found = spark.read.format("skein_line_blocks").option("recursive", str(recursive).lower()).option("block", str(block)).load(path)
-        return found.select(F.decode("line", encoding).alias("value"), F.struct("path", "at", F.lit(0).cast("long").alias("row")).alias("place"))
+        return found.select(F.decode("line", encoding).alias("value"), F.struct("path", "at", "row").alias("place"))
     read = spark.read.option("lineSep", "\n").option("encoding", encoding).option("recursiveFileLookup", str(recursive).lower()).text(url)
     return read.select("value", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place"))
 
@@ -257,8 +296,11 @@ def save_text(df: DataFrame, url: str, overwrite: bool = True, compression: str
     (writer.option("compression", compression) if compression else writer).text(url)
 
 
-def save_text_parts(df: DataFrame, url: str, overwrite: bool = True, extension: str = "txt", encoding: str = "utf-8", compressor=None, column: str = "value") -> None:
-    """Exact part names and bytes, with any ``compressor(bytes)``; a mounted folder is needed."""
+def save_text_parts(df: DataFrame, url: str, overwrite: bool = True, extension: str = "txt", encoding: str = "utf-8", compressor=None, column: str = "value", in_order: bool = False) -> None:
+    """Exact part names and bytes, with any ``compressor(bytes)``; a mounted folder is needed.
+
+    ``in_order`` fills part numbers up with zeros, so that the files' order by name is that of the partitions.
+    """
     path = local_path(url)
     if path is None:
         raise ValueError("exact part files need a mounted (file:) folder; use save_text")
@@ -268,4 +310,4 @@ def save_text_parts(df: DataFrame, url: str, overwrite: bool = True, extension:
         writer = writer.option("compressor", base64.b64encode(cloudpickle.dumps(compressor)).decode())
     if not overwrite and os.path.exists(path):
         raise FileExistsError(path)
-    writer.option("extension", extension).option("encoding", encoding).save(path)
+    writer.option("extension", extension).option("encoding", encoding).option("in_order", str(in_order).lower()).save(path)

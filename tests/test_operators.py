@@ -311,6 +311,54 @@ def test_lines_of_split_files(ctx, spark, tmp_path, monkeypatch):
     assert [r.value for r in other.orderBy("place").collect()] == lines["b"]
 
 
+def test_block_positions_are_those_of_the_text(spark, tmp_path, monkeypatch):
+    lines = {"part-10": [f"line {i}" for i in range(100)], "part-2": ["", "é" * 30, "", "long " * 50, "end"], "part-3": []}
+    for name, ls in lines.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in ls), encoding="utf-8")
+    want = list(enumerate(x for name in sorted(lines) for x in lines[name]))
+    for block in (33, 500, 1 << 20):
+        got = ordering.with_block_position(files.ordered_lines(spark, str(tmp_path), block=block), "place").select("pos", "value")
+        assert sorted(map(tuple, got.collect())) == want
+        assert "rangepartitioning" not in got._jdf.queryExecution().toString()
+        spark.catalog.clearCache()
+    monkeypatch.setattr(files, "local_path", lambda url: None)  # as in other stores
+    other = ordering.with_block_position(files.ordered_lines(spark, f"file://{tmp_path}"), "place")
+    assert sorted((r.pos, r.value) for r in other.collect()) == want
+
+
+def test_lines_of_pieces(monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "LINE_ROWS", 3)
+    for size in (1, 2, 7, 1 << 20):
+        monkeypatch.setattr(files, "LINE_BYTES", size)
+        for data in (b"", b"\n", b"\n\n", b"a", b"a\n", b"a\n\nbcd\r\n\n", b"\xff\x00\n" + b"x" * 40 + b"\ny\nz", b"q\n" * 20):
+            (tmp_path / "f").write_bytes(data)
+            for block in (1, 3, 8, 1000):
+                reader = files._LinesReader({"path": str(tmp_path), "block": str(block)})
+                parts = [[r for b in reader.read(p) for r in b.to_pylist()] for p in reader.partitions()]
+                assert [r["line"] for p in parts for r in p] == (data.split(b"\n")[:-1] if data.endswith(b"\n") or not data else data.split(b"\n"))
+                assert all([r["row"] for r in p] == list(range(len(p))) for p in parts)
+
+
+def test_parts_by_batches_encodings_and_order(ctx, spark, tmp_path):
+    texts = ["", "a", None, "é", "", "b\nc", "z", ""]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = ctx.parallelize([(t,) for t in texts], "value string", 1)
+        for encoding in ("utf-8", "UTF8", "utf-16", "utf-7", "latin-1"):
+            rows.save_as_text_parts(f"{tmp_path}/one", encoding=encoding)
+            assert (tmp_path / "one" / "part-0.txt").read_bytes() == "\n".join(t or "" for t in texts).encode(encoding)
+        rows.save_as_text_parts(f"{tmp_path}/one", extension="gz", compressor=gzip.compress)
+        assert gzip.decompress((tmp_path / "one" / "part-0.gz").read_bytes()) == "\n".join(t or "" for t in texts).encode()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    numbers = ctx.range(0, 24, 1, 12).map(value=F.col("id").cast("string"))
+    numbers.save_as_text_parts(f"{tmp_path}/many", in_order=True)
+    assert sorted(os.listdir(tmp_path / "many")) == [f"part-{i:02}.txt" for i in range(12)]
+    assert values(ctx.text_file(f"{tmp_path}/many")) == [str(i) for i in range(24)]
+    numbers.save_as_text_parts(f"{tmp_path}/many")
+    assert set(os.listdir(tmp_path / "many")) == {f"part-{i}.txt" for i in range(12)}
+
+
 def test_part_files_of_a_crashed_write_dont_come_back(ctx, tmp_path):
     rows = ctx.range(4).map(value=F.col("id").cast("string"))
     os.makedirs(f"{tmp_path}/out.__staging-dead")
